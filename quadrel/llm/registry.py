@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe
-from quadrel.llm.common import table
+from quadrel.llm import bpe, warc
+from quadrel.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -17,8 +17,29 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, path))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.assemble(spark, path, payloads=False).select(
+        "page_id", "response.payload_bytes", "response.payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_warc": op4_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (
+            SELECT *, min(page_id) OVER (PARTITION BY d) AS lo FROM p
+        )
+        SELECT page_id, n AS payload_bytes, d AS payload_digest,
+               CASE WHEN n >= 100 AND page_id <> lo THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 100 AND page_id <> lo THEN lo END AS refers_to
+        FROM f
+    """,
+}
