@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe, warc
+from quadrel.llm import bpe, simhash, warc
 from quadrel.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,9 +25,14 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.hexed(simhash.dedup(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_warc": op4_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLES: dict[str, str] = {
