@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe, simhash, warc
+from quadrel.llm import bpe, rules, simhash, warc
 from quadrel.llm.common import scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return rules.apply(docs, rules.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexed(simhash.dedup(table(spark, sf_dir, "documents")))
 
@@ -32,6 +37,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_warc": op4_warc,
+    "op7_rules": op7_rules,
     "op10_simhash": op10_simhash,
 }
 
