@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe, rules, simhash, warc
-from quadrel.llm.common import scratch, table
+from quadrel.llm import bpe, cnn, rules, simhash, warc
+from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,6 +25,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = cnn.score(docs, cnn.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (id_bucket("doc_id", cnn.FOLDS) == cnn.HELD).alias("held_out"), "score", "predicted")
+
+
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return rules.apply(docs, rules.train(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +43,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op4_warc": op4_warc,
+    "op6_cnn": op6_cnn,
     "op7_rules": op7_rules,
     "op10_simhash": op10_simhash,
 }
