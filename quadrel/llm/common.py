@@ -43,6 +43,13 @@ def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of at most so many rows, to bound a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, rows)
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; 0 for a null id."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % modulus, F.lit(0)).cast("int")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe, cnn, decontam, rules, simhash, warc
+from quadrel.llm import bpe, cnn, crf, decontam, rules, simhash, warc
 from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,12 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = crf.predict(docs, crf.train(docs))
+    return found.select("doc_id", (id_bucket("doc_id", crf.FOLDS) == crf.HELD).alias("held_out"), "lang_pred", "score")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexed(simhash.dedup(table(spark, sf_dir, "documents")))
 
@@ -50,6 +56,7 @@ QUERIES = {
     "op5_decontam": op5_decontam,
     "op6_cnn": op6_cnn,
     "op7_rules": op7_rules,
+    "op9_crf": op9_crf,
     "op10_simhash": op10_simhash,
 }
 
