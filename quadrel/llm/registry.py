@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quadrel.llm import bpe, cnn, crf, decontam, rules, simhash, warc
+from quadrel.llm import bpe, cnn, crf, decontam, pii, rules, simhash, warc
 from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -40,6 +40,10 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply(docs, rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op9_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = crf.predict(docs, crf.train(docs))
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_decontam": op5_decontam,
     "op6_cnn": op6_cnn,
     "op7_rules": op7_rules,
+    "op8_pii": op8_pii,
     "op9_crf": op9_crf,
     "op10_simhash": op10_simhash,
 }
