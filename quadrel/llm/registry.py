@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, cnn, crf, decontam, pii, rules, simhash, warc
+from quadrel.llm import bpe, cnn, crf, decontam, linedup, pii, rules, simhash, warc
 from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,6 +18,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(coded, path))
 
 
+def op3_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -56,6 +62,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op3_linedup": op3_linedup,
     "op4_warc": op4_warc,
     "op5_decontam": op5_decontam,
     "op6_cnn": op6_cnn,
@@ -100,4 +107,33 @@ ORACLES: dict[str, str] = {
                CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
     """,
+    # A line within two edits holds one of the other's thirds (or halves) unchanged: that thins the pairs.
+    "op3_linedup": r"""
+        WITH l AS (
+            SELECT doc_id, no, line, length(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) > 0 AS real
+            FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS no FROM documents WHERE text IS NOT NULL)
+        ), c AS (
+            SELECT line, min((doc_id, no)) AS first, length(line) AS n FROM l WHERE real GROUP BY line
+        ), s AS (
+            SELECT *, least(2, n // 16) AS t FROM c WHERE n >= 16
+        ), x AS (
+            SELECT a.line AS la, b.line AS lb, a.first AS fa, b.first AS fb, a.t
+            FROM s a JOIN s b ON b.n BETWEEN a.n AND a.n + a.t AND a.line <> b.line
+            WHERE contains(b.line, substr(a.line, 1, a.n // (a.t + 1)))
+               OR contains(b.line, substr(a.line, a.n // (a.t + 1) + 1, a.n // (a.t + 1)))
+               OR (a.t = 2 AND contains(b.line, substr(a.line, 2 * (a.n // 3) + 1)))
+        ), late AS (
+            SELECT DISTINCT CASE WHEN fa < fb THEN lb ELSE la END AS line FROM x WHERE levenshtein(la, lb) <= t
+        ), k AS (
+            SELECT l.doc_id, l.no, l.line, l.real, l.real AND (l.doc_id, l.no) <> c.first AS exact_, l.real AND (l.doc_id, l.no) = c.first AND late.line IS NOT NULL AS near_
+            FROM l LEFT JOIN c ON l.line = c.line LEFT JOIN late ON l.line = late.line
+        ), g AS (
+            SELECT doc_id, count(*) FILTER (real) AS n_lines, count(*) FILTER (exact_) AS n_exact, count(*) FILTER (near_) AS n_near,
+                   string_agg(line, chr(10) ORDER BY no) FILTER (NOT (coalesce(exact_, false) OR coalesce(near_, false))) AS text
+            FROM k GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_exact, 0) AS BIGINT) AS n_exact, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+               sha256(coalesce(g.text, '')) AS text_sha256
+        FROM documents d LEFT JOIN g USING (doc_id)
+    """,
 }
