@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadrel.llm.common import small_batches
+
 #: Raw bytes of text in a chunk, about.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 #: Distinct words a task holds before it hands them on; a later repeat costs a few bytes, not a result.
-HELD_WORDS = 600_000
+HELD_WORDS = 250_000
 
 # Character classes of the split pattern within Latin-1.
 _LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ÿ"
@@ -172,21 +174,18 @@ def _encode_bucket(path: str):
         import zstandard
 
         split = _splitter(path)
-        known: dict[bytes, np.ndarray] = {}
+        known: dict[bytes, bytes] = {}
         ids_out = []
         for blob in table.column("words"):
             words = _unpack(blob.as_py())
-            lengths, ids = np.empty(len(words), np.uint16), []
-            for i, w in enumerate(words):
+            ids = []
+            for w in words:
                 got = known.get(w)
                 if got is None:
-                    got = known[w] = np.array(split.encode(w.decode("utf-8", "surrogatepass")), np.uint32)
-                if len(got) > 0xFFFF:
-                    raise ValueError("a word of more than 65,535 tokens")
-                lengths[i] = len(got)
+                    got = known[w] = np.array(split.encode(w.decode("utf-8", "surrogatepass")), np.uint32).tobytes()
                 ids.append(got)
-            flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-            ids_out.append(zstandard.compress(lengths.tobytes() + flat.astype(np.uint32).tobytes(), 3))
+            lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
+            ids_out.append(zstandard.compress(lengths.tobytes() + b"".join(ids), 3))
         return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "words": table.column("words").cast(pa.binary()), "ids": pa.array(ids_out, pa.binary())})
 
     return run
@@ -218,8 +217,8 @@ def _apply_chunk(path: str):
             for w in names:
                 index.setdefault(w.decode("utf-8", "surrogatepass"), len(index))
             fresh = len(index) - sum(map(len, lengths))
-            size = np.frombuffer(data, np.uint16, len(names)).astype(np.int64)
-            flat = np.frombuffer(data, np.uint32, offset=2 * len(names))
+            size = np.frombuffer(data, np.uint32, len(names)).astype(np.int64)
+            flat = np.frombuffer(data, np.uint32, offset=4 * len(names))
             if fresh != len(names):  # a word came from two tasks: keep its first ids only
                 have = sum(map(len, lengths))
                 keep, nxt = np.zeros(len(names), bool), have
@@ -251,7 +250,7 @@ def _apply_chunk(path: str):
 
 def encode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs (doc_id, text), added tokens recognised, none put in."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     chunks = max(1, -(-size // chunk_bytes))
