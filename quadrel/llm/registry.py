@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, cnn, crf, decontam, linedup, pii, rules, simhash, warc
+from quadrel.llm import bpe, cnn, crf, decontam, html, linedup, pii, rules, simhash, warc
 from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(TOKENIZER)
     coded = bpe.encode(table(spark, sf_dir, "documents"), path)
@@ -61,6 +65,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_bpe": op2_bpe,
     "op3_linedup": op3_linedup,
     "op4_warc": op4_warc,
