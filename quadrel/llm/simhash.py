@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import materialise
+from quadrel.llm.common import materialise, small_batches
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -65,14 +65,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; the long's 64 bits are the fingerprint."""
+    """(doc_id, th, fp) of every row; fp's 64 bits are the fingerprint, th is a hash of the text."""
+    small_batches(docs.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fp)], ["doc_id", "th", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, fp long")
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return some.withColumn("th", F.xxhash64("text")).mapInArrow(rows, "doc_id long, th long, fp long")
 
 
 def group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
@@ -204,14 +206,23 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
 
 
 def dedup(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs (doc_id, text)."""
+    """(doc_id, th, fp, component_id, component_th) for every row of docs (doc_id, text): the component's smallest id and text hash."""
     fps = materialise(fingerprints(docs, shingle), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("low")), "distinct")
     comps = components(links(distinct, threshold))
     rooted = distinct.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.min("low").alias("component_th"))
+    named = rooted.join(smallest, "root").select("fp", "component_id", "component_th")
+    return fps.join(named, "fp").select("doc_id", "th", "fp", "component_id", "component_th")
+
+
+def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stand for their component: those with its smallest id (without any id: with its smallest text hash)."""
+    named = dedup(docs, threshold, shingle)
+    stays = F.when(F.col("component_id").isNull(), F.col("th") == F.col("component_th")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    gone = named.where(~stays).select(F.col("doc_id").alias("__d"), F.col("th").alias("__th")).distinct()
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__th")), "left_anti")
 
 
 def hexed(found: DataFrame) -> DataFrame:
