@@ -1,4 +1,304 @@
-"""Named queries of the matrix engine over the star-schema tables, and their SQL."""
+"""Named queries of the matrix engine over the star-schema tables, and their SQL.
 
-QUERIES: dict = {}
+Matrices live in a square of SPACE rows, or more where the tables' keys need
+it; the SQL is written for SPACE.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrel.functions.bits import ceil_log2, mask_mul, unmorton
+from quadrel.matrix import Matrix
+from quadrel.operators import compress as comp
+from quadrel.operators import product, tree
+from quadrel.sources import files, generate
+from quadrel.storage import scratch
+
+SPACE = 1 << 18
+H = ceil_log2(SPACE)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: The inputs: customer-part, part-supplier and order-part pairs; the filtered ones are discriminating, the others nearly dense in their product.
+_FILTER = "l_returnflag = 'R' AND l_quantity > 45"
+INPUTS = {
+    "cp": f"SELECT DISTINCT CAST(o_custkey AS BIGINT) AS row, CAST(l_partkey AS BIGINT) AS col FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE {_FILTER}",
+    "ps": f"SELECT DISTINCT CAST(l_partkey AS BIGINT) AS row, CAST(l_suppkey AS BIGINT) AS col FROM lineitem WHERE {_FILTER}",
+    "op": "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS row, CAST(l_partkey AS BIGINT) AS col FROM lineitem",
+    "po": "SELECT DISTINCT CAST(l_partkey AS BIGINT) AS row, CAST(l_orderkey AS BIGINT) AS col FROM lineitem",
+    "cn": "SELECT DISTINCT CAST(c_custkey AS BIGINT) AS row, CAST(c_nationkey AS BIGINT) AS col FROM customer",
+}
+
+
+def matrix(spark: SparkSession, sf_dir: str, name: str) -> Matrix:
+    """One of INPUTS as a matrix."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    lines = read("lineitem") if name != "cn" else None
+    if name in ("cp", "ps"):
+        lines = lines.where(_FILTER)
+    if name == "cp":
+        df = lines.join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_partkey")
+    elif name == "cn":
+        df = read("customer").select("c_custkey", "c_nationkey")
+    else:
+        df = lines.select(*{"ps": ("l_partkey", "l_suppkey"), "op": ("l_orderkey", "l_partkey"), "po": ("l_partkey", "l_orderkey")}[name])
+    top = df.agg(F.max(F.greatest(*df.columns))).head()[0] or 0
+    return Matrix.from_df(df, max(SPACE, top + 1))
+
+
+def _query(name: str, sql: str | None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _with(*names: str, rest: str = "") -> str:
+    return "WITH " + ", ".join(f"{n} AS ({INPUTS[n]})" for n in names) + (", " + rest if rest else "") + " "
+
+
+
+
+def _keyed(name: str) -> str:
+    """k{name}: the cells with z-order keys; spreading goes step by step."""
+    steps = [f"k{name}0 AS (SELECT row, col, row AS a, col AS b FROM {name})"]
+    for i, (shift, m) in enumerate(((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)), 1):
+        steps.append(f"k{name}{i} AS (SELECT row, col, (a | (a << {shift})) & {m} AS a, (b | (b << {shift})) & {m} AS b FROM k{name}{i - 1})")
+    steps.append(f"k{name} AS (SELECT row, col, CAST((a << 1) | b AS BIGINT) AS key FROM k{name}5)")
+    return ", ".join(steps)
+
+
+_LEAVES = "leaf AS (SELECT key >> 2 AS key, CAST(bit_or(CAST(1 AS BIGINT) << CAST(key & 3 AS INT)) AS BIGINT) AS mask FROM {k} GROUP BY 1)"
+_LEVELS = f"lev AS (SELECT CAST(l AS BIGINT) AS level, key >> CAST(2 * ({H} - l) AS INT) AS key FROM {{k}}, generate_series(0, {H - 1}) AS g(l)), per AS (SELECT level, count(DISTINCT key) AS nodes FROM lev GROUP BY level)"
+_SIZES = f"siz AS (SELECT CAST(1 + 4 * coalesce(sum(CASE WHEN level < {H - 1} THEN nodes END), 0) + coalesce(sum(CASE WHEN level = {H - 1} THEN nodes END), 0) AS BIGINT) AS nodes, CAST(coalesce(sum(CASE WHEN level = {H - 1} THEN nodes END), 0) AS BIGINT) AS leaves FROM per)"
+
+
+def _nodes_sql(name: str) -> str:
+    """n: (level, key, rep, size, leaves) of every node, level by level; top0, top: pointers without and with the threshold."""
+    parts = [f"l{H - 1} AS (SELECT DISTINCT key >> 2 AS key, CAST(0 AS BIGINT) AS rep, CAST(4 AS BIGINT) AS size, CAST(1 AS BIGINT) AS leaves FROM k{name})"]
+    for lv in range(H - 2, -1, -1):
+        kids = ", ".join(f"coalesce(max(CASE WHEN key & 3 = {q} THEN rep END), -1) AS c{q}" for q in range(4))
+        parts.append(f"t{lv} AS (SELECT key >> 2 AS key, {kids}, CAST(2 + sum(size) + 2 * (4 - count(*)) AS BIGINT) AS size, CAST(sum(leaves) AS BIGINT) AS leaves FROM l{lv + 1} GROUP BY key >> 2)")
+        parts.append(f"l{lv} AS (SELECT key, min(key) OVER (PARTITION BY c0, c1, c2, c3) AS rep, size, leaves FROM t{lv})")
+    parts.append("n AS (" + " UNION ALL ".join(f"SELECT CAST({lv} AS BIGINT) AS level, key, rep, size, leaves FROM l{lv}" for lv in range(H)) + ")")
+    for top, thr in (("top0", "0"), ("top", "(SELECT thr FROM th)")):
+        if top == "top":
+            parts.append("th AS (SELECT CASE WHEN w <= 2 THEN 4 ELSE 4 + CAST(ceil(log2(w - 1)) AS BIGINT) END AS thr FROM (SELECT count(DISTINCT (level, rep)) AS w FROM top0))")
+        parts.append(f"c{top} AS (SELECT * FROM n WHERE level <= {H - 2} AND rep <> key AND size > {thr})")
+        parts.append(f"{top} AS (SELECT * FROM c{top} c WHERE NOT EXISTS (SELECT 1 FROM c{top} a, generate_series(1, {H}) AS g(d) WHERE a.level = c.level - d AND a.key = c.key >> CAST(2 * d AS INT)))")
+    return ", ".join(parts)
+
+
+_PS_NODES = _with("ps", rest=_keyed("ps") + ", " + _nodes_sql("ps"))
+_PRODUCT = "SELECT DISTINCT a.row, b.col FROM {a} a JOIN {b} b ON a.col = b.row"
+
+
+@_query("multiply", _with("cp", "ps") + _PRODUCT.format(a="cp", b="ps"))
+def multiply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.multiply(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps")).cells
+
+
+@_query("multiply_salted", _with("cp", "ps") + _PRODUCT.format(a="cp", b="ps"))
+def multiply_salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.multiply(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps"), salts=4).cells
+
+
+@_query("multiply_blocked", _with("cp", "ps") + _PRODUCT.format(a="cp", b="ps"))
+def multiply_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.multiply_blocked(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps")).cells
+
+
+@_query("multiply_wide", _with("op", "po") + _PRODUCT.format(a="op", b="po"))
+def multiply_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share a part: a sparse product with many results."""
+    return product.multiply(matrix(spark, sf_dir, "op"), matrix(spark, sf_dir, "po")).cells
+
+
+@_query("multiply_compressed", _with("cp", "ps") + _PRODUCT.format(a="cp", b="ps"))
+def multiply_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.multiply_compressed(comp.compress(matrix(spark, sf_dir, "cp")), comp.compress(matrix(spark, sf_dir, "ps"))).cells
+
+
+@_query("product_flops", _with("cp", "ps") + "SELECT CAST(coalesce(sum(na * nb), 0) AS BIGINT) AS flops FROM (SELECT col AS k, count(*) AS na FROM cp GROUP BY 1) JOIN (SELECT row AS k, count(*) AS nb FROM ps GROUP BY 1) USING (k)")
+def product_flops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.product_flops(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps"))
+
+
+@_query("boolean_or", _with("cp", "ps") + "SELECT row, col FROM cp UNION SELECT row, col FROM ps")
+def boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.boolean_or(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps")).cells
+
+
+_BLOCKS = "SELECT row >> 1 AS brow, col >> 1 AS bcol, CAST(bit_or(CAST(1 AS BIGINT) << CAST(2 * (row % 2) + col % 2 AS INT)) AS BIGINT) AS mask FROM {x} GROUP BY 1, 2"
+
+
+@_query("boolean_or_blocked", _with("cp", "ps", rest="u AS (SELECT row, col FROM cp UNION SELECT row, col FROM ps)") + _BLOCKS.format(x="u"))
+def boolean_or_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product.boolean_or_blocked(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps"))
+
+
+@_query("to_blocks", _with("op") + _BLOCKS.format(x="op"))
+def to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.to_blocks(matrix(spark, sf_dir, "op"))
+
+
+@_query("decode", _with("op") + "SELECT row, col FROM op")
+def decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.decode(matrix(spark, sf_dir, "op"))
+
+
+@_query("nnz", _with("op") + "SELECT count(*) AS nnz FROM op")
+def nnz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.nnz(matrix(spark, sf_dir, "op"))
+
+
+@_query("morton", _with("op", rest=_keyed("op")) + "SELECT row, col, key FROM kop")
+def morton_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matrix(spark, sf_dir, "op").keyed()
+
+
+@_query("unmorton", _with("op", rest=_keyed("op")) + "SELECT row, col, key FROM kop")
+def unmorton_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row, col = unmorton(F.col("key"))
+    return matrix(spark, sf_dir, "op").keyed().select(row.alias("row"), col.alias("col"), "key")
+
+
+@_query("morton_sorted", _with("op", rest=_keyed("op")) + "SELECT row, col, key FROM kop ORDER BY key")
+def morton_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.morton_sorted(matrix(spark, sf_dir, "op"))
+
+
+@_query("mask_mul", """
+    SELECT a, b, CAST(
+        (((a & 1) * (b & 1)) | (((a >> 1) & 1) * ((b >> 2) & 1)))
+        + 2 * (((a & 1) * ((b >> 1) & 1)) | (((a >> 1) & 1) * ((b >> 3) & 1)))
+        + 4 * ((((a >> 2) & 1) * (b & 1)) | (((a >> 3) & 1) * ((b >> 2) & 1)))
+        + 8 * ((((a >> 2) & 1) * ((b >> 1) & 1)) | (((a >> 3) & 1) * ((b >> 3) & 1))) AS BIGINT) AS c
+    FROM generate_series(0, 15) AS x(a), generate_series(0, 15) AS y(b)""")
+def mask_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 256 products of 2x2 masks."""
+    ab = spark.range(256).select(F.shiftright("id", 4).alias("a"), F.col("id").bitwiseAND(F.lit(15).cast("long")).alias("b"))
+    return ab.select("a", "b", mask_mul(F.col("a"), F.col("b")).alias("c"))
+
+
+@_query("nodes_per_level", _with("op", rest=_keyed("op") + ", " + _LEVELS.format(k="kop")) + "SELECT level, nodes FROM per")
+def nodes_per_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.nodes_per_level(matrix(spark, sf_dir, "op"))
+
+
+@_query("node_count", _with("op", rest=_keyed("op") + ", " + _LEVELS.format(k="kop") + ", " + _SIZES) + "SELECT nodes FROM siz")
+def node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.node_count(matrix(spark, sf_dir, "op"))
+
+
+@_query("space_report", _with("op", rest=_keyed("op") + ", " + _LEVELS.format(k="kop") + ", " + _SIZES) + "SELECT nodes, 2 * nodes AS tree_bits, leaves, 4 * leaves AS leaf_bits, 2 * nodes + 4 * leaves AS total_bits FROM siz")
+def space_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.space_report(matrix(spark, sf_dir, "op"))
+
+
+def _info_sql(name: str) -> str:
+    return (_with(name, rest=_keyed(name) + ", " + _LEVELS.format(k=f"k{name}") + ", " + _SIZES)
+            + f"SELECT '{name}' AS name, CAST({SPACE} AS BIGINT) AS n, CAST({H} AS BIGINT) AS height, (SELECT count(*) FROM {name}) AS nnz, nodes, 2 * nodes AS tree_bits, 4 * leaves AS leaf_bits, leaves, "
+            f"CAST((1000 * (2 * nodes + 4 * leaves)) // (SELECT count(*) FROM {name}) AS BIGINT) AS millibits_per_one, CAST((1000 * (2 * nodes + 4 * leaves)) // nodes AS BIGINT) AS millibits_per_node FROM siz")
+
+
+@_query("info", f"SELECT * FROM ({_info_sql('ps')}) UNION ALL SELECT * FROM ({_info_sql('cn')})")
+def info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.info({n: matrix(spark, sf_dir, n) for n in ("ps", "cn")})
+
+
+@_query("leaf_pair_histogram", _with("op", rest=_keyed("op") + ", " + _LEAVES.format(k="kop") + ", r AS (SELECT mask, row_number() OVER (ORDER BY key) - 1 AS rn FROM leaf)")
+        + "SELECT CAST(code AS BIGINT) AS code, count(*) AS cnt FROM (SELECT sum(mask << CAST(4 * (rn % 2) AS INT)) AS code FROM r GROUP BY rn // 2) GROUP BY 1")
+def leaf_pair_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.leaf_pair_histogram(matrix(spark, sf_dir, "op"))
+
+
+@_query("subtree_groups", _PS_NODES + "SELECT level, key, rep, size, leaves FROM n")
+def subtree_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.subtree_groups(matrix(spark, sf_dir, "ps"))
+
+
+_ALIVE = "alive AS (SELECT n.*, p.key IS NOT NULL AS pruned FROM n LEFT JOIN top p ON p.level = n.level AND p.key = n.key WHERE NOT EXISTS (SELECT 1 FROM top a, generate_series(1, {h}) AS g(d) WHERE a.level = n.level - d AND a.key = n.key >> CAST(2 * d AS INT)))".format(h=H)
+
+
+@_query("compress", _PS_NODES + ", " + _ALIVE + f"""
+    , code AS (SELECT level, rep, row_number() OVER (ORDER BY rep << CAST(2 * ({H} - level) AS INT), level) - 1 AS target_code FROM (SELECT DISTINCT level, rep FROM top))
+    SELECT a.level, a.key, a.rep, a.size, a.leaves, a.pruned, CASE WHEN a.pruned THEN c.target_code END AS target_code FROM alive a LEFT JOIN code c ON c.level = a.level AND c.rep = a.rep""")
+def compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.compress(matrix(spark, sf_dir, "ps")).tree
+
+
+@_query("compression_stats", _PS_NODES + "SELECT count(*) AS pointers, count(DISTINCT (level, rep)) AS targets, CAST((SELECT size FROM l0) - coalesce(sum(size - 4), 0) AS BIGINT) AS pruned_tree_bits FROM top")
+def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.compression_stats(comp.compress(matrix(spark, sf_dir, "ps")))
+
+
+@_query("pointer_leaf_skips", _PS_NODES + f"SELECT level, key, 4 * leaves AS leaf_bits, CAST(sum(4 * leaves) OVER (ORDER BY key << CAST(2 * ({H} - level) AS INT)) AS BIGINT) AS skipped_bits FROM top")
+def pointer_leaf_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.pointer_leaf_skips(comp.compress(matrix(spark, sf_dir, "ps")))
+
+
+@_query("decode_compressed", _with("ps") + "SELECT row, col FROM ps")
+def decode_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.decode_compressed(comp.compress(matrix(spark, sf_dir, "ps")))
+
+
+@_query("save_load", _with("op") + "SELECT row, col FROM op")
+def save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "matrix")
+    files.save(matrix(spark, sf_dir, "op"), path)
+    return files.load(spark, path).cells
+
+
+@_query("save_load_compressed", _with("ps") + "SELECT row, col FROM ps")
+def save_load_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "compressed")
+    files.save_compressed(comp.compress(matrix(spark, sf_dir, "ps")), path)
+    return comp.decode_compressed(files.load_compressed(spark, path))
+
+
+@_query("read_edges", _with("op") + "SELECT row, col FROM op")
+def read_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "edges")
+    m = matrix(spark, sf_dir, "op")
+    files.write_edges(m, path)
+    return files.read_edges(spark, path, m.meta.n).cells
+
+
+@_query("verify", "SELECT true AS same")
+def verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decoding gives back the cells."""
+    m = matrix(spark, sf_dir, "op")
+    return spark.range(1).select(F.lit(tree.verify(m, tree.decode(m))).alias("same"))
+
+
+@_query("from_dense", "SELECT CAST(r AS BIGINT) AS row, CAST(c AS BIGINT) AS col FROM generate_series(0, 15) AS a(r), generate_series(0, 15) AS b(c) WHERE r * c % 7 = 3")
+def from_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.from_dense(spark, [[int(r * c % 7 == 3) for c in range(16)] for r in range(16)]).cells
+
+
+@_query("random_matrix", None)
+def random_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.random_matrix(spark, 1024, 0.01).cells
+
+
+@_query("random_matrix_bernoulli", None)
+def random_matrix_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate.random_matrix(spark, 1024, 10 / 10001, mode="bernoulli").cells
+
+
+@_query("dump", None)
+def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """height, tree and leaves of a literal 16 x 16 matrix."""
+    m = generate.from_dense(spark, [[int(r * c % 7 == 3) for c in range(16)] for r in range(16)])
+    return spark.createDataFrame([tuple(tree.dump(m).values())], "height string, tree string, leaves string")
+
+

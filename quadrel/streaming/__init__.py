@@ -1,0 +1 @@
+"""The engine is batch only: its operators define no streams, windows or late data."""
