@@ -9,8 +9,10 @@ is cut into t + 1 segments, one of which any line within t edits contains,
 shifted by few positions.  Every line thus indexes its segments under (length,
 ordinal, hash) and probes, for each length it may be near to, the substrings at
 the shifts that can't be excluded.  Index and probe rows of a key meet in one
-task, sorted, and stream through it; their pairs are verified by a banded
-bit-parallel edit distance, run over many pairs at once.
+task, sorted, and stream through it.  A row carries a 64-bit sketch of its line
+that bounds the edits from below, so that lines which share a segment only
+don't become pairs.  Pairs are verified by a banded bit-parallel edit distance,
+run over many pairs at once.
 
 Defined results: blank lines stay and link to nothing; a null text stays null;
 lines of rows with a null id come after all others; rows that repeat both id
@@ -64,13 +66,22 @@ def segments(n: np.ndarray, parts: int, i: int) -> tuple[np.ndarray, np.ndarray]
     return short * i + long_before, short + (i >= parts - more)
 
 
+def sketches(code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Parities of hashed letter pairs, 64 bits a line: an edit flips at most four of them."""
+    with np.errstate(over="ignore"):
+        pair = (code[:-1] * np.uint64(0x9E3779B1) + code[1:]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    bit = np.concatenate([np.uint64(1) << (pair >> np.uint64(58)), np.zeros(1, np.uint64)])
+    bit[begin + length - 1] = 0  # no pair across lines
+    return np.bitwise_xor.reduceat(bit, begin)
+
+
 def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line ordinal, key, role) of index rows (role 0) and probe rows (role 1)."""
+    """(line ordinal, key, sketch of each line); a key's last bit is 0 for index rows and 1 for probe rows."""
     length = np.fromiter(map(len, lines), np.int64, len(lines))
     begin = np.cumsum(length) - length
     _grow(int(length.sum()) + 1)
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    ordinal, key, role = [], [], []
+    ordinal, key = [], []
     with np.errstate(over="ignore"):
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((code + np.uint64(1)) * _powers[:len(code)], dtype=np.uint64)])
 
@@ -79,8 +90,7 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             h = (prefix[a + size] - prefix[a]) * _inverse[a]
             h = (h ^ (whole.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(i)) * np.uint64(0xFF51AFD7ED558CCD)
             ordinal.append(rows)
-            key.append((h ^ (h >> np.uint64(33))).view(np.int64))
-            role.append(np.full(len(rows), kind, np.int8))
+            key.append((((h ^ (h >> np.uint64(33))) << np.uint64(1)) | np.uint64(kind)).view(np.int64))
 
         for t in range(1, MAX_EDITS + 1):
             rows = np.flatnonzero(tolerance(length) == t)
@@ -94,19 +104,17 @@ def signatures(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                     for shift in range(max(-i, delta - (t - i)), min(i, delta + (t - i)) + 1):
                         ok = (at + shift >= 0) & (at + shift + size <= length[rows])
                         put(rows[ok], (at + shift)[ok], size[ok], (length[rows] - delta)[ok], i, 1)
-    if not ordinal:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)
-    return np.concatenate(ordinal), np.concatenate(key), np.concatenate(role)
+    return np.concatenate(ordinal), np.concatenate(key), sketches(code, begin, length)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to signature rows (key, role, id) of their distinct lines."""
+    """Texts to signature rows (key, id, sketch) of their distinct lines."""
     import xxhash
 
     def out(some: list[str]) -> pa.RecordBatch:
         ids = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 42) for x in some], np.uint64).view(np.int64)
-        ordinal, key, role = signatures(some)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(role), pa.array(ids[ordinal])], ["key", "role", "id"])
+        ordinal, key, sketch = signatures(some)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids[ordinal]), pa.array(sketch[ordinal].view(np.int64))], ["key", "id", "sketch"])
 
     for batch in batches:
         lines = {x for t in batch.column("text") if t.is_valid for x in t.as_py().split("\n") if len(x) >= CHARS_PER_EDIT and x.strip(_BLANK)}
@@ -122,22 +130,26 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key to pairs of different lines that meet as index and probe."""
+    """Rows sorted by key to pairs of different lines that meet as index and probe, and whose sketches don't rule them out."""
 
-    def pairs(key: np.ndarray, role: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    def pairs(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> Iterator[pa.RecordBatch]:
+        role = key & 1
+        start = np.flatnonzero(np.concatenate([[True], (key[1:] >> 1) != (key[:-1] >> 1)]))
         size = np.diff(np.append(start, len(key)))
-        probes = np.add.reduceat(role.astype(np.int64), start)
+        probes = np.add.reduceat(role, start)
         low, high = np.minimum.reduceat(ids, start), np.maximum.reduceat(ids, start)
         for k in np.flatnonzero((low != high) & (probes > 0) & (probes < size)):
             part = slice(start[k], start[k] + size[k])
-            index, probe = np.unique(ids[part][role[part] == 0]), np.unique(ids[part][role[part] == 1])
+            index, at0 = np.unique(ids[part][role[part] == 0], return_index=True)
+            probe, at1 = np.unique(ids[part][role[part] == 1], return_index=True)
+            s0, s1 = sketch[part][role[part] == 0][at0].view(np.uint64), sketch[part][role[part] == 1][at1].view(np.uint64)
             step = max(1, (1 << 18) // len(probe))
             for at in range(0, len(index), step):
-                a, b = np.repeat(index[at:at + step], len(probe)), np.tile(probe, len(index[at:at + step]))
-                lo, hi = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-                if len(lo):
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                near = np.bitwise_count(s0[at:at + step, None] ^ s1[None, :]) <= 4 * MAX_EDITS
+                x, y = np.nonzero(near & (index[at:at + step, None] != probe[None, :]))
+                if len(x):
+                    a, b = index[at + x], probe[y]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     def gathered(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -151,12 +163,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     def runs() -> Iterator[pa.RecordBatch]:
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int8), np.zeros(0, np.int64)]
+        rest = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            cols = [np.concatenate([r, batch.column(n).to_numpy(zero_copy_only=False)]) for r, n in zip(rest, ("key", "role", "id"), strict=True)]
+            cols = [np.concatenate([r, batch.column(n).to_numpy(zero_copy_only=False)]) for r, n in zip(rest, ("key", "id", "sketch"), strict=True)]
             if not len(cols[0]):
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last run may go on
+            cut = int(np.searchsorted(cols[0] >> 1, cols[0][-1] >> 1))  # the last run may go on
             if cut:
                 yield from pairs(*(c[:cut] for c in cols))
             rest = [c[cut:] for c in cols]
@@ -240,8 +252,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def near_links(docs: DataFrame) -> DataFrame:
     """(a1, a2, b1, b2): hash pairs of different lines within tolerance."""
     small_batches(docs.sparkSession)
-    rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign, "key long, role byte, id long")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
+    rows = docs.where(F.col("text").isNotNull()).select("text").mapInArrow(_sign, "key long, id long, sketch long")
+    met = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_meet, "a long, b long").distinct()
     pairs = materialise(met, "line-pairs")
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct(), "line-ids")
     h1, h2 = _hashes(F.col("line"))
@@ -276,7 +288,8 @@ def annotate(docs: DataFrame) -> DataFrame:
     drop = decisions(docs).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(
         F.collect_list("no").alias("__no"), F.sum(F.col("near").cast("long")).alias("__near"))  # lines of one document
     doc, th = _place(docs)
-    joined = docs.join(drop, (doc == F.col("__doc")) & (th == F.col("__th")), "left")
+    # By shuffle at every size: what is dropped grows with the documents.
+    joined = docs.join(drop.hint("shuffle_hash"), (doc == F.col("__doc")) & (th == F.col("__th")), "left")
     parts = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__no")  # by a hash set, in order
     left = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
