@@ -50,17 +50,24 @@ class Network:
 
 
 def _units(raw: bytes) -> int:
-    return max(1, -(-len(raw) // UNIT))
+    """Units of a text with WIDTH - 1 bytes of padding."""
+    return -(-(len(raw) + WIDTH - 1) // UNIT)
 
 
-def _pools(stream: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
-    """Max of each filter over each unit of a stream of whole units plus WIDTH - 1 bytes."""
+def _pools(stream: np.ndarray, last: np.ndarray, tables: list[np.ndarray], bias: np.ndarray) -> np.ndarray:
+    """Max of each filter over each unit of a stream of whole units plus WIDTH - 1 bytes.
+
+    last: units that end a text; their last positions, which lie in padding and
+    would reach into the next text, don't count.
+    """
     n = len(stream) - WIDTH + 1
     pair = (stream[:-1].astype(np.uint16) << 8) | stream[1:]
     h = tables[0].take(pair[:n], axis=0)
     for k, t in enumerate(tables[1:], 1):
         h += t.take(pair[2 * k:2 * k + n], axis=0)
-    return np.maximum(h.reshape(-1, UNIT, FILTERS).max(axis=1) + bias, 0)
+    h = h.reshape(-1, UNIT, FILTERS)
+    h[last, UNIT - WIDTH + 1:] = -np.inf
+    return np.maximum(h.max(axis=1) + bias, 0)
 
 
 def logits(texts: list[bytes], net: Network, tables: list[np.ndarray]) -> np.ndarray:
@@ -70,12 +77,12 @@ def logits(texts: list[bytes], net: Network, tables: list[np.ndarray]) -> np.nda
     pad = [UNIT * int(c) - len(t) for c, t in zip(counts, texts, strict=True)]
     stream = np.frombuffer(b"".join(x for t, p in zip(texts, pad, strict=True) for x in (t, bytes(p))) + bytes(WIDTH), np.uint8)
     bias = net.bias.astype(np.float32)
-    for at in range(0, len(pooled), BLOCK_UNITS):
-        to = min(at + BLOCK_UNITS, len(pooled))
-        pooled[at:to] = _pools(stream[at * UNIT:to * UNIT + WIDTH - 1], tables, bias)
     first = np.cumsum(counts) - counts
     last = np.zeros(len(pooled), bool)
     last[first + counts - 1] = True
+    for at in range(0, len(pooled), BLOCK_UNITS):
+        to = min(at + BLOCK_UNITS, len(pooled))
+        pooled[at:to] = _pools(stream[at * UNIT:to * UNIT + WIDTH - 1], last[at:to], tables, bias)
     chunk = pooled.copy()  # a chunk is its unit and the next one of the same document
     chunk[:-1][~last[:-1]] = np.maximum(pooled[:-1], pooled[1:])[~last[:-1]]
     z = chunk @ net.dense + net.offset
