@@ -247,7 +247,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Chain | None:
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, per_lang * scale // r["count"] + 1)))])
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(scale))
     some = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0)))
-    found = some.select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(counts)).select("lang", F.substring("text", 1, 4000).alias("text")).collect()
+    found = some.select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(counts)).select("lang", "text").collect()
     return fit([r["text"] for r in found], [r["lang"] for r in found]) if found else None
 
 
