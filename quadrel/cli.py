@@ -45,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
         tree.info({path: files.load(spark, path) for path in a.paths}).show(len(a.paths), False)
     elif a.what == "cinfo":
         for path in a.paths:
-            print(path, comp.compression_stats(files.load_compressed(spark, path)).head().asDict())
+            print(path, comp.compressed_info(files.load_compressed(spark, path)).head().asDict())
     elif a.what == "multiply":
         files.save(product.multiply(files.load(spark, a.a), files.load(spark, a.b)), f"{a.a}.mul")
     elif a.what == "cmultiply":

@@ -18,7 +18,7 @@ from quadrel.functions.bits import ceil_log2, prefix
 from quadrel.matrix import Matrix, Meta
 from quadrel.operators.ordering import ordinals, prefix_sums
 from quadrel.operators.product import multiply
-from quadrel.operators.tree import cells_of_masks, leaf_masks
+from quadrel.operators.tree import DUMP_LEAVES, cells_of_masks, leaf_masks
 from quadrel.storage import materialise
 
 @dataclass(frozen=True)
@@ -95,6 +95,32 @@ def compression_stats(c: Compressed) -> DataFrame:
         (F.coalesce(F.max(F.when(F.col("level") == 0, F.col("size"))), F.lit(2)) - F.coalesce(F.sum(F.when(p, F.col("size") - 4)), F.lit(0))).cast("long").alias("pruned_tree_bits"))
 
 
+def compressed_info(c: Compressed) -> DataFrame:
+    """One row: nnz, and the raw bit counts of the pruned tree, the leaves and the pointers."""
+    ones = c.masks.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("nnz"), F.count(F.lit(1)).alias("leaves"))
+    both = compression_stats(c).crossJoin(ones)  # one row each
+    return both.select("nnz", F.expr("pruned_tree_bits div 2").alias("nodes"), F.col("pruned_tree_bits").alias("tree_bits"), "leaves", (4 * F.col("leaves")).alias("leaf_bits"), "pointers", "targets")
+
+
+def dump_compressed(c: Compressed) -> dict[str, str]:
+    """The pruned tree's parentheses, and its pointers' target codes in order, of a small matrix."""
+    found = c.tree.select("level", "key", "pruned", "target_code").limit(4 * DUMP_LEAVES + 1).collect()
+    if len(found) > 4 * DUMP_LEAVES:
+        raise ValueError(f"more than {4 * DUMP_LEAVES} nodes")
+    h, there = c.meta.height, {(r["level"], r["key"]): r["target_code"] if r["pruned"] else None for r in found}
+    codes: list[str] = []
+
+    def draw(level: int, key: int) -> str:
+        if (level, key) not in there:
+            return "()"
+        if there[level, key] is not None:
+            codes.append(str(there[level, key]))
+            return "(())"
+        return "(())" if level == h - 1 else "(" + "".join(draw(level + 1, 4 * key + q) for q in range(4)) + ")"
+
+    return {"tree": draw(0, 0), "pointers": " ".join(codes)}
+
+
 def pointer_leaf_skips(c: Compressed) -> DataFrame:
     """(level, key, leaf_bits, skipped_bits): leaf bits below each pointer, and below it and all earlier pointers."""
     h = c.meta.height

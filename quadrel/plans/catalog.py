@@ -241,6 +241,13 @@ def compression_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.compression_stats(comp.compress(matrix(spark, sf_dir, "ps")))
 
 
+@_query("compressed_info", _PS_NODES + """
+    , st AS (SELECT count(*) AS pointers, count(DISTINCT (level, rep)) AS targets, CAST((SELECT size FROM l0) - coalesce(sum(size - 4), 0) AS BIGINT) AS tree_bits FROM top)
+    SELECT (SELECT count(*) FROM ps) AS nnz, tree_bits // 2 AS nodes, tree_bits, (SELECT leaves FROM l0) AS leaves, 4 * (SELECT leaves FROM l0) AS leaf_bits, pointers, targets FROM st""")
+def compressed_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.compressed_info(comp.compress(matrix(spark, sf_dir, "ps")))
+
+
 @_query("pointer_leaf_skips", _PS_NODES + f"SELECT level, key, 4 * leaves AS leaf_bits, CAST(sum(4 * leaves) OVER (ORDER BY key << CAST(2 * ({H} - level) AS INT)) AS BIGINT) AS skipped_bits FROM top")
 def pointer_leaf_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.pointer_leaf_skips(comp.compress(matrix(spark, sf_dir, "ps")))

@@ -25,9 +25,22 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/quadrel-{tag}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/quadrel-{tag}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; call it once results no longer read it."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
 def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:

@@ -46,6 +46,17 @@ def test_fixture(spark, cells, leaves):
     c = comp.compress(m)
     assert tuple(comp.compression_stats(c).head()) == (2, 2, 66)
     assert ones(comp.decode_compressed(c)) == sorted(cells)
+    drawn = comp.dump_compressed(c)
+    assert drawn["tree"] == "((((())(())()(()))()()((())()()()))(()((())(())()())()())(())(()))" and sorted(drawn["pointers"].split()) == ["0", "1"]
+    got = comp.compressed_info(c).head()
+    assert (got["nnz"], got["nodes"], got["tree_bits"], got["leaf_bits"], got["pointers"]) == (len(cells), 33, 66, 48, 2)
+
+
+def test_release(spark):
+    from quadrel import storage
+
+    kept = storage.materialise(spark.range(3).toDF("x"), "release")
+    assert kept.count() == 3 and storage.release(spark) >= 1 and storage.release(spark) == 0
 
 
 def test_products_agree(spark):
