@@ -99,7 +99,7 @@ def _window(raw: bytes, rng: np.random.Generator) -> np.ndarray:
     return np.frombuffer(part + bytes(size - len(part)), np.uint8)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
+def fit(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on logistic loss; the gradient reaches each filter through the positions that won the pooling."""
     rng = np.random.default_rng(seed)
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -107,10 +107,11 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate:
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     weight = np.where(y > 0, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean()))
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(y))
         for lo in range(0, len(order), batch):
             rows = order[lo:lo + batch]
+            now = rate * (1 - 0.9 * min(1.0, step / steps))
             g = {k: np.zeros_like(x) for k, x in p.items()}
             for r in rows:
                 s = _window(raws[r], rng)
@@ -139,7 +140,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 6, batch: int = 32, rate:
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
-                p[k] = p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                p[k] = p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     return Network(p["filters"], p["bias"], p["dense"].astype(np.float32), float(p["offset"][0]))
 
 

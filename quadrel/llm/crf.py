@@ -179,7 +179,7 @@ def _pair_counts(emit: np.ndarray, first: np.ndarray, model: tuple[np.ndarray, n
     return post, pair.sum(axis=0), post[begins].sum(axis=0)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64, rate: float = 0.3, seed: int = 11) -> Chain:
+def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, rate: float = 0.3, seed: int = 11) -> Chain:
     """AdaGrad on the conditional likelihood of spliced word chains."""
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
@@ -200,8 +200,10 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, batch: int = 64, ra
     sizes = has.sum(axis=1)
     w, start, trans = np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k))
     gw, gs, gt = np.full((BUCKETS, k), 1e-2), np.full(k, 1.0), np.full((k, k), 1.0)
-    for _ in range(epochs):
+    done = 0
+    while chains and done < steps:
         order = rng.permutation(len(chains))
+        done += -(-len(chains) // batch)
         for lo in range(0, len(order), batch):
             some = [chains[i] for i in order[lo:lo + batch]]
             ws, ys, first = [], [], []
