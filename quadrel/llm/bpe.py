@@ -272,7 +272,9 @@ def vocabulary(tokenizer: str) -> list[str]:
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """Adds text: the pieces of ids in order, joined as a tokenizer without a decoder does, by one space."""
+    """Adds text (in place of a column of that name): the pieces of ids in order, joined as a tokenizer without a decoder does, by one space."""
+
+    encoded = encoded.drop("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(vocabulary(tokenizer), pa.string())

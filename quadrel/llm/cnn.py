@@ -151,11 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Net
     return fit([t for t, _ in rows], y) if len(set(y)) == 2 else None
 
 
-def score(docs: DataFrame, net: Network | None) -> DataFrame:
-    """docs with score double and predicted int; every column is kept, the text is read whole."""
+def _scored(docs: DataFrame, net: Network | None, score: str, predicted: str) -> DataFrame:
+    """docs with two more columns of the given names."""
     small_batches(docs.sparkSession)
-    clash = {"score", "predicted"} & set(docs.columns)
-    docs = docs.drop(*clash)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.pairs() if net is not None else []
@@ -164,12 +162,17 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
             p = np.full(len(texts), 0.5)
             if net is not None and texts:
                 p = 1 / (1 + np.exp(-np.clip(logits(texts, net, tables).astype(float), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, score, predicted])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(rows, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(rows, f"{fields}, `{score}` double, `{predicted}` int")
+
+
+def score(docs: DataFrame, net: Network | None) -> DataFrame:
+    """docs with score double and predicted int, which replace columns of these names; the text is read whole."""
+    return _scored(docs.drop("score", "predicted"), net, "score", "predicted")
 
 
 def keep(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows that the network doesn't reject, with their own columns."""
-    return score(docs, net).where(F.col("predicted") == 1).select(*docs.columns)
+    return _scored(docs, net, "__quadrel_score", "__quadrel_predicted").where(F.col("__quadrel_predicted") == 1).select(*docs.columns)

@@ -7,7 +7,7 @@ from html import escape
 import numpy as np
 
 #: Stands in each block of main text; the labeller never sees it.
-MARK = ""
+MARK = "\ue000"
 
 _NAMES = {
     "main": "content main article post entry story body text page single article-body post-content entry-content main-content story-body prose",

@@ -283,24 +283,32 @@ def decisions(docs: DataFrame) -> DataFrame:
     return lines.join(losing, ["h1", "h2"]).where(again | F.col("late")).select("doc", "th", "no", (~again).alias("near")).distinct()
 
 
-def annotate(docs: DataFrame) -> DataFrame:
-    """docs with text rid of its dropped lines, and n_lines, n_exact, n_near (long)."""
-    drop = decisions(docs).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(
-        F.collect_list("no").alias("__no"), F.sum(F.col("near").cast("long")).alias("__near"))  # lines of one document
+def _rebuilt(docs: DataFrame) -> DataFrame:
+    """docs with text rid of its dropped lines, and __quadrel_lines, __quadrel_exact, __quadrel_near (long)."""
+    names = {c: f"__quadrel_{c}" for c in ("doc", "th", "no", "near")}
+    drop = decisions(docs).groupBy("doc", "th").agg(
+        F.collect_list("no").alias("no"), F.sum(F.col("near").cast("long")).alias("near")).withColumnsRenamed(names)  # lines of one document
     doc, th = _place(docs)
     # By shuffle at every size: what is dropped grows with the documents.
-    joined = docs.join(drop.hint("shuffle_hash"), (doc == F.col("__doc")) & (th == F.col("__th")), "left")
+    joined = docs.join(drop.hint("shuffle_hash"), (doc == F.col(names["doc"])) & (th == F.col(names["th"])), "left")
+    gone = F.col(names["no"])
     parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "__no")  # by a hash set, in order
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)  # by a hash set, in order
     left = F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n")
-    n = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"\S"))), F.lit(0))
-    text = F.when(F.col("__no").isNull(), F.col("text")).otherwise(left)
-    size = F.coalesce(F.size("__no"), F.lit(0)).cast("long")
-    near = F.coalesce("__near", F.lit(0))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")],
-                         F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"), (size - near).alias("n_exact"), near.cast("long").alias("n_near"))
+    text = F.when(gone.isNull(), F.col("text")).otherwise(left)
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(r"\S"))), F.lit(0)))
+    near = F.coalesce(F.col(names["near"]), F.lit(0))
+    exact = F.coalesce(F.size(gone), F.lit(0)) - near
+    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+                         n.cast("long").alias("__quadrel_lines"), exact.cast("long").alias("__quadrel_exact"), near.cast("long").alias("__quadrel_near"))
+
+
+def annotate(docs: DataFrame) -> DataFrame:
+    """docs with text rid of its dropped lines, and n_lines, n_exact, n_near (long), which replace columns of these names."""
+    made = {"__quadrel_lines": "n_lines", "__quadrel_exact": "n_exact", "__quadrel_near": "n_near"}
+    return _rebuilt(docs).drop(*made.values()).withColumnsRenamed(made)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs, texts rid of lines that repeat or nearly repeat an earlier line."""
-    return annotate(docs).select(*docs.columns)
+    return _rebuilt(docs).select(*docs.columns)

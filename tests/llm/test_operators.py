@@ -121,7 +121,7 @@ def test_linedup(spark):
 def test_linedup_edges(spark):
     table = docs(spark)
     out = linedup.dedup(table)
-    assert out.columns == table.columns
+    assert out.columns == table.columns and {n for n, in rows(out, "n_lines")} == {9}
     got = rows(out, "doc_id", "text")
     assert len(got) == table.count() and (None, None) in got and (0, None) in got and (2, " \n\t ") in got
     assert got.count((3, TEXTS[3])) == 2 and (4, "") in got  # row 4 repeats row 3's line
@@ -284,7 +284,8 @@ def test_cnn(spark):
     assert np.mean([got[i]["predicted"] == q for i, _, q in held]) > 0.95
     odd = cnn.score(docs(spark), net)
     assert odd.count() == docs(spark).count() and all(0 <= s <= 1 for s, in rows(odd, "score"))
-    assert set(cnn.keep(docs(spark), net).columns) == set(docs(spark).columns)
+    kept = cnn.keep(docs(spark), net)
+    assert kept.columns == docs(spark).columns and {tuple(r) for r in kept.select("score", "predicted").collect()} <= {("s", "p")}
     assert cnn.train(table, labels.limit(0)) is None and {s for s, in rows(cnn.score(table, None), "score")} == {0.5}
     assert cnn.score(empty(spark), net).count() == 0
 
