@@ -41,6 +41,12 @@ FOLDS, HELD = 4, 2
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str | None) -> list[str]:
+    """Lower-case runs that have a letter; numerals such as fractions alone are no words."""
+    found = _WORD.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
+
+
 def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Hashed feature columns of lower-case words: (bucket of each word, whether the word has that feature).
 
@@ -184,12 +190,12 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     k = len(names)
-    if not any(_WORD.search(t) for t in texts):
+    if not any(map(words_of, texts)):
         return Chain(names, np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k)))
     code = {x: i for i, x in enumerate(names)}
     chains = []
     for text, lang in zip(texts, langs, strict=True):
-        ws = _WORD.findall(text.lower())
+        ws = words_of(text)
         at = int(rng.integers(0, max(1, len(ws) - TRAIN_WORDS + 1)))
         if ws:
             chains.append((ws[at:at + TRAIN_WORDS], code[lang]))
@@ -291,7 +297,7 @@ class Scorer:
             words.clear(), owner.clear(), sizes.clear()
 
         for i, text in enumerate(texts):
-            ws = _WORD.findall(text.lower()) if text else []
+            ws = words_of(text)
             if ws:
                 words += ws
                 owner.append(i)

@@ -376,6 +376,7 @@ def test_crf(spark):
     assert got[900]["lang_pred"] == "und" and got[900]["score"] == 0
     odd = crf.predict(docs(spark), model)
     assert odd.count() == docs(spark).count() and all(x == "und" for i, x in rows(odd, "doc_id", "lang_pred") if i in (0, 1, 2))
+    assert crf.words_of("½ x² ²") == ["x²"] and crf.words_of("12 ½_") == []
     mixed = crf.Scorer(model)
     words = ["thewhing", "edthe", "thewh", "schung", "eintz", "tzsch"]
     post = crf.posteriors(mixed.rows(words), np.array([True] + [False] * 5), model.start, model.trans)
