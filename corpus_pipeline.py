@@ -3,6 +3,13 @@
 STAGES: (name, function(spark, docs, sf_dir) -> DataFrame).  All but the last
 return the columns of documents.  run() writes each stage's result to the
 shared folder as Parquet and rereads it as the next stage's docs.
+
+Defined results: null and empty texts are scored like any other and, if kept,
+stay as they are through line dedup; those, and texts that line dedup emptied
+(plain copies of earlier ones), are near-duplicates of each other, so one stays;
+a null id loses against any other in its group; repeated rows stand or fall
+together; extra columns pass through all stages but the last; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
