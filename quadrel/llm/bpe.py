@@ -20,6 +20,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,15 +47,18 @@ class Splitter:
     """Splits a text as the tokenizer does: added tokens, normaliser, split pattern."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             added = json.load(f)["added_tokens"]
         self.added = {a["content"]: a["id"] for a in added}
         self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
-        self.normalise = self.tokenizer.normalizer.normalize_str
-        self.presplit = self.tokenizer.pre_tokenizer.pre_tokenize_str
+
+    @cached_property
+    def tokenizer(self):
+        """Loaded where merges or other scripts need it only: it takes much of a worker's memory."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def words(self, text: str) -> list[str]:
         """Words in order; an added token stands for itself behind a NUL, which no split word starts with."""
@@ -69,8 +73,8 @@ class Splitter:
         if _SIMPLE.fullmatch(text):
             return _WORDS.findall(text.lower())
         # The pattern's own engine decides for other scripts; spans refer to the normalised text.
-        text = self.normalise(text)
-        return ["\1" + w for w, _ in self.presplit(text)]
+        text = self.tokenizer.normalizer.normalize_str(text)
+        return ["\1" + w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def encode(self, word: str) -> list[int]:
         """Ids of one split word, by the tokenizer's merges."""
@@ -265,10 +269,13 @@ def encode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES) -> D
 
 def vocabulary(tokenizer: str) -> list[str]:
     """Pieces by id; the tokenizer file bounds their number."""
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(tokenizer)
-    return [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
+    with open(tokenizer, encoding="utf-8") as f:
+        told = json.load(f)
+    ids = told["model"]["vocab"] | {a["content"]: a["id"] for a in told["added_tokens"]}
+    out = [""] * (max(ids.values()) + 1)
+    for piece, i in ids.items():
+        out[i] = piece
+    return out
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
