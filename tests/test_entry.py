@@ -38,3 +38,13 @@ def test_without_optional_parts(monkeypatch):
     assert "multiply" in entry.queries() and "pipeline" not in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
     assert not any(n.startswith("op") for n in entry.queries())
     assert "quadrel.storage" in sys.modules
+
+
+WIDE = ["multiply_salted", "multiply_blocked", "multiply_compressed", "product_flops", "boolean_or", "boolean_or_blocked", "info", "subtree_groups", "compress", "compression_stats", "compressed_info", "pointer_leaf_skips", "decode_compressed", "save_load_compressed"]
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_whole_tables_against_sql(spark, name):
+    """Each operator whose other query is filtered has one on all of lineitem."""
+    assert "l_returnflag" not in entry.oracle_sql()[f"{name}_wide"]
+    test_against_sql(spark, f"{name}_wide")
