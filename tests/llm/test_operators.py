@@ -428,6 +428,20 @@ def test_pii_terms(spark):
     assert "Zaphod" not in clean[0] and "[EMAIL]" in clean[0] and clean[5] == fill[2]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    """A term many words, or many code points without words, away tells as much, and every occurrence is marked."""
+    gap = "der Brief geht noch am selben Tag an alle Leute im Haus"
+    far = [f"Zaphod grüßt. {gap} {'0 ' * 200}{x} an zaphod@example.org. {gap} Nochmals ZAPHOD, Zaphod!" for x in ("eins", "zwei")]
+    fill = [f"{gap}, auch {x} grüßt: {x}@example.org" for x in "abcdefghij"]
+    table = spark.createDataFrame(list(enumerate(far + fill)), "doc_id long, text string")
+    out = {r["doc_id"]: r["spans"].split(",") for r in pii.report(table).collect()}
+    for i, text in enumerate(far):
+        assert [x for x in out[i] if x.startswith("term:")] == [f"term:{m.start()}:{m.end()}" for m in re.finditer("zaphod(?!@)|nochmals", text.lower())]
+    assert not any("term" in x for i in range(2, 12) for x in out[i])
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
+    assert all("zaphod" not in clean[i].lower() for i in (0, 1)) and clean[2] == fill[0].replace("a@example.org", "[EMAIL]")
+
+
 # HTML
 
 @pytest.fixture(scope="module")
