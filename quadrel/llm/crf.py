@@ -31,8 +31,9 @@ BUCKETS = 1 << 14
 #: Texts of each language (about) and words of each text on which the model is fitted.
 PER_LANG = 250
 TRAIN_WORDS = 120
-#: Languages at most; the most frequent ones are learned.
-MAX_LANGS = 64
+#: Languages up to which segments are worked side by side; with more, transfer
+#: matrices would cost more than they save, so chains are.  No limit on languages.
+SEGMENT_LANGS = 64
 #: Word forms whose scores a worker keeps.
 CACHE = 400_000
 SEGMENT = 64
@@ -106,6 +107,8 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
     n, k = emit.shape
     if n == 0:
         return np.zeros((0, k))
+    if k > SEGMENT_LANGS:
+        return _by_chain(emit, first, start, trans)[0]
     count = -(-n // segment)
     pad = count * segment - n
     kind = emit.dtype
@@ -160,29 +163,41 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
     return out.reshape(-1, k)[:n]
 
 
-def _pair_counts(emit: np.ndarray, first: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals and expected transitions of short training chains, position by position."""
-    start, trans = model
-    post = posteriors(emit, first, start, trans)
-    # Pair marginals follow from forward weights up to t and backward weights from t + 1.
+def _by_chain(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals, and expected transitions of all chains together; chains run side by side, position by position."""
     n, k = emit.shape
-    e = np.exp(emit - emit.max(axis=1, keepdims=True))
-    t, s = np.exp(trans - trans.max()), np.exp(start - start.max())
+    kind = emit.dtype
+    e = np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -30))
+    t, s = np.exp(np.maximum(trans - trans.max(), -20)).astype(kind), np.exp(np.maximum(start - start.max(), -20)).astype(kind)
     begins = np.flatnonzero(first)
     lengths = np.diff(np.append(begins, n))
-    alpha, beta = np.zeros((n, k)), np.ones((n, k))
-    for i in range(int(lengths.max())):
-        at = begins[lengths > i] + i
+    # The longest chains first, so that those still running are a prefix.
+    order = np.argsort(-lengths, kind="stable")
+    begins, lengths = begins[order], lengths[order]
+    longest = int(lengths[0])
+    running = np.searchsorted(-lengths, -np.arange(longest), side="left")  # chains of more than i positions
+    alpha, beta = np.zeros((n, k), kind), np.ones((n, k), kind)
+    for i in range(longest):
+        at = begins[:running[i]] + i
         a = (s if i == 0 else alpha[at - 1] @ t) * e[at]
         alpha[at] = a / a.sum(axis=1, keepdims=True)
-    for i in range(int(lengths.max()) - 2, -1, -1):
-        at = begins[lengths > i + 1] + i
+    for i in range(longest - 2, -1, -1):
+        at = begins[:running[i + 1]] + i
         b = (e[at + 1] * beta[at + 1]) @ t.T
         beta[at] = b / b.max(axis=1, keepdims=True)
+    post = alpha * beta
+    post /= post.sum(axis=1, keepdims=True)
+    # A pair's weights are alpha_i t_ij b_j; their sum over positions is one product of matrices.
     at = np.flatnonzero(~first)
-    pair = alpha[at - 1][:, :, None] * t[None] * (e[at] * beta[at])[:, None, :]
-    pair /= pair.sum(axis=(1, 2), keepdims=True)
-    return post, pair.sum(axis=0), post[begins].sum(axis=0)
+    b = e[at] * beta[at]
+    b /= ((alpha[at - 1] @ t) * b).sum(axis=1, keepdims=True)
+    return post, t * (alpha[at - 1].T @ b)
+
+
+def _pair_counts(emit: np.ndarray, first: np.ndarray, model: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals and expected transitions of short training chains, and how often each label starts one."""
+    post, pairs = _by_chain(emit, first, *model)
+    return post, pairs, post[first].sum(axis=0)
 
 
 def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, rate: float = 0.3, seed: int = 11) -> Chain:
@@ -190,6 +205,7 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
     rng = np.random.default_rng(seed)
     names = sorted(set(langs))
     k = len(names)
+    batch *= max(1, k // SEGMENT_LANGS)
     if not any(map(words_of, texts)):
         return Chain(names, np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k)))
     code = {x: i for i, x in enumerate(names)}
@@ -248,13 +264,13 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Chain | None:
     """Model fitted to a bounded sample of rows that have a language and are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & (id_bucket("doc_id", FOLDS) != HELD) & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return None
     scale = 1 << 30
-    share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(scale, per_lang * scale // r["count"] + 1)))])
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(scale, per_lang * scale // r["count"] + 1)) for r in counts], "lang string, __share long")
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(scale))
-    some = rows.where(draw < F.coalesce(share[F.col("lang")], F.lit(0)))
+    some = rows.select("lang", "text", "doc_id").join(F.broadcast(share), "lang").where(draw < F.col("__share"))
     found = some.select("lang", "text", "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_lang * len(counts)).select("lang", "text").collect()
     return fit([r["text"] for r in found], [r["lang"] for r in found]) if found else None
 
@@ -265,11 +281,12 @@ class Scorer:
     def __init__(self, model: Chain):
         self.model = model
         self.weights = model.weights.astype(np.float32)
+        self.wide = max(1, len(model.langs) // SEGMENT_LANGS)  # rows of so many labels are so much larger
         self.index: dict[str, int] = {}
         self.table = np.empty((1024, len(model.langs)), np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        if len(self.index) > CACHE:
+        if len(self.index) > CACHE // self.wide:
             self.index = {}
         index = self.index
         new = list(set(words).difference(index))
@@ -302,7 +319,7 @@ class Scorer:
                 words += ws
                 owner.append(i)
                 sizes.append(len(ws))
-            if len(words) > 200_000:
+            if len(words) > 200_000 // self.wide:
                 flush()
         flush()
         return langs, score

@@ -384,6 +384,25 @@ def test_crf(spark):
     assert crf.train(table.where("lang IS NULL")) is None and crf.predict(empty(spark), None).count() == 0
 
 
+def test_crf_many_languages(spark):
+    """Languages beyond the 64th, the rarest too, are learned and found."""
+    names = [f"l{i:02d}" for i in range(70)]
+    tongue = {g: [chr(0x4E00 + 40 * i + k) * 2 for k in range(12)] for i, g in enumerate(names)}
+    r = random.Random(4)
+    langs = [g for g in names for _ in range(16 if g < "l64" else 8)]
+    table = spark.createDataFrame([(i, " ".join(r.choice(tongue[g]) for _ in range(20)), g) for i, g in enumerate(langs)], "doc_id long, text string, lang string")
+    model = crf.train(table, per_lang=30)
+    assert model.langs == names
+    got = {x["doc_id"]: x["lang_pred"] for x in crf.predict(table, model).collect()}
+    rare = [got[i] == g for i, g in enumerate(langs) if g >= "l64"]
+    assert np.mean(rare) > 0.9 and np.mean([got[i] == g for i, g in enumerate(langs)]) > 0.9
+    rng = np.random.default_rng(1)
+    emit, first, start, trans = rng.normal(size=(300, 5)), rng.random(300) < 0.05, rng.normal(size=5), rng.normal(size=(5, 5))
+    first[0] = True
+    post, pairs = crf._by_chain(emit, first, start, trans)
+    assert np.allclose(post, crf.posteriors(emit, first, start, trans)) and np.isclose(pairs.sum(), (~first).sum())
+
+
 # Personal data
 
 def slow_spans(text):
