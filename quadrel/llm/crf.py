@@ -31,6 +31,10 @@ BUCKETS = 1 << 14
 #: Texts of each language (about) and words of each text on which the model is fitted.
 PER_LANG = 250
 TRAIN_WORDS = 120
+#: Letters of one word (a stretch from anywhere in it) on which the model is fitted; scoring takes every letter.
+TRAIN_LETTERS = 4096
+#: Words of more letters are hashed one by one.
+SHORT = 30
 #: Languages up to which segments are worked side by side; with more, transfer
 #: matrices would cost more than they save, so chains are.  No limit on languages.
 SEGMENT_LANGS = 64
@@ -48,29 +52,34 @@ def words_of(text: str | None) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    return (h ^ (h >> np.uint32(12))) & np.uint32(BUCKETS - 1)
+
+
+def _whole(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (BUCKETS - 1)
+
+
 def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Hashed feature columns of lower-case words: (bucket of each word, whether the word has that feature).
+    """Hashed feature columns of lower-case words of up to SHORT letters: (bucket of each word, whether the word has that feature).
 
     Columns: the whole form (lexicon), prefix and suffix of three letters, and
     letter pairs and triples with marked word ends, which hold the shorter
-    affixes.  Letters beyond the 30th count in the whole form only.
+    affixes.
     """
-    chars = np.array([f"<{w[:30]}>" for w in words], dtype="U32").view(np.uint32).reshape(len(words), 32)
+    chars = np.array([f"<{w}>" for w in words], dtype=f"U{SHORT + 2}").view(np.uint32).reshape(len(words), SHORT + 2)
     length = (chars != 0).sum(axis=1)
     everyone = np.ones(len(words), bool)
 
-    def bucket(h: np.ndarray) -> np.ndarray:
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        return (h ^ (h >> np.uint32(12))) & np.uint32(BUCKETS - 1)
-
     def gram(at: np.ndarray | int, n: int, tag: int) -> np.ndarray:
         h = np.full(len(words), tag, np.uint32)
         row = np.arange(len(words))
         for k in range(n):
             h = h * np.uint32(0x01000193) + (chars[:, at + k] if isinstance(at, int) else chars[row, at + k])
-        return bucket(h)
+        return _bucket(h)
 
-    yield np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BUCKETS - 1) for w in words], np.uint32), everyone
+    yield np.array([_whole(w) for w in words], np.uint32), everyone
     yield gram(0, 4, 4), length >= 4
     yield gram(np.maximum(length - 4, 0), 4, 5), length >= 4
     for n in (2, 3):
@@ -78,13 +87,36 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield gram(i, n, n), length >= i + n
 
 
+def long_features(word: str) -> np.ndarray:
+    """Buckets of the same features of one word, from all its letters, however many."""
+    chars = np.frombuffer(f"<{word}>".encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def grams(part: np.ndarray, n: int, tag: int) -> np.ndarray:
+        size = len(part) - n + 1
+        h = np.full(size, tag, np.uint32)
+        for k in range(n):
+            h = h * np.uint32(0x01000193) + part[k:k + size]
+        return _bucket(h)
+
+    return np.concatenate([np.array([_whole(word)], np.uint32), grams(chars[:4], 4, 4), grams(chars[-4:], 4, 5), grams(chars, 2, 2), grams(chars, 3, 3)])
+
+
 def emissions(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Label scores of words: their features' weights, summed and scaled by the number of features."""
     out, count = np.zeros((len(words), weights.shape[1]), weights.dtype), np.zeros(len(words), weights.dtype)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(size <= SHORT)
+    if len(short):
+        some, n = np.zeros((len(short), weights.shape[1]), weights.dtype), np.zeros(len(short), weights.dtype)
+        for at, has in features([words[i] for i in short]):
+            some += np.where(has[:, None], weights[at], 0)
+            n += has
+        out[short], count[short] = some, n
+    for i in np.flatnonzero(size > SHORT):
+        at = long_features(words[i])
+        out[i] = weights[at].sum(axis=0) if len(at) < BUCKETS else np.bincount(at, minlength=BUCKETS).astype(weights.dtype) @ weights
+        count[i] = len(at)
     if words:
-        for at, has in features(words):
-            out += np.where(has[:, None], weights[at], 0)
-            count += has
         out /= np.sqrt(count)[:, None]
     return out
 
@@ -209,17 +241,33 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
     if not any(map(words_of, texts)):
         return Chain(names, np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k)))
     code = {x: i for i, x in enumerate(names)}
+
+    def stretch(word: str) -> str:
+        if len(word) <= TRAIN_LETTERS:
+            return word
+        at = int(rng.integers(0, len(word) - TRAIN_LETTERS + 1))
+        return word[at:at + TRAIN_LETTERS]
+
     chains = []
     for text, lang in zip(texts, langs, strict=True):
         ws = words_of(text)
         at = int(rng.integers(0, max(1, len(ws) - TRAIN_WORDS + 1)))
         if ws:
-            chains.append((ws[at:at + TRAIN_WORDS], code[lang]))
+            chains.append(([stretch(x) for x in ws[at:at + TRAIN_WORDS]], code[lang]))
     forms = {x: i for i, x in enumerate(sorted({x for c, _ in chains for x in c}))}
-    cols = list(features(list(forms))) if forms else []
-    bucket = np.stack([a for a, _ in cols], axis=1).astype(np.int64)
-    has = np.stack([b for _, b in cols], axis=1)
-    sizes = has.sum(axis=1)
+    # Buckets of each form one after the other, and where they begin.
+    parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(forms)
+    short = [x for x in forms if len(x) <= SHORT]
+    if short:
+        cols = list(features(short))
+        bucket, has = np.stack([a for a, _ in cols], axis=1).astype(np.int64), np.stack([b for _, b in cols], axis=1)
+        for x, row, own in zip(short, bucket, has, strict=True):
+            parts[forms[x]] = row[own]
+    for x in forms:
+        if len(x) > SHORT:
+            parts[forms[x]] = long_features(x).astype(np.int64)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    bucket, begin = np.concatenate(parts), np.cumsum(sizes) - sizes
     w, start, trans = np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k))
     gw, gs, gt = np.full((BUCKETS, k), 1e-2), np.full(k, 1.0), np.full((k, k), 1.0)
     done = 0
@@ -237,9 +285,10 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
                 ys += [y] * cut + [z] * len(tail)
                 first += [True] + [False] * (cut + len(tail) - 1)
             form = np.array([forms[x] for x in ws])
-            size, mask = sizes[form], has[form]
-            flat = bucket[form][mask]
-            emit = np.add.reduceat(w[flat], np.cumsum(size) - size) / np.sqrt(size)[:, None]
+            size = sizes[form]
+            ahead = np.cumsum(size) - size
+            flat = bucket[np.repeat(begin[form] - ahead, size) + np.arange(int(size.sum()))]
+            emit = np.add.reduceat(w[flat], ahead) / np.sqrt(size)[:, None]
             y, cut1 = np.array(ys), np.array(first)
             post, pairs, starts = _pair_counts(emit, cut1, (start, trans))
             d = post.copy()

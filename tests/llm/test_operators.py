@@ -403,6 +403,25 @@ def test_crf_many_languages(spark):
     assert np.allclose(post, crf.posteriors(emit, first, start, trans)) and np.isclose(pairs.sum(), (~first).sum())
 
 
+def test_crf_long_runs():
+    """Every letter of a run counts, however long it is, and its suffix is its real end."""
+    r = random.Random(6)
+    letters = {"a": "bcdfgh", "b": "klmnpq"}
+    run = lambda g, n: "".join(r.choice(letters[g]) for _ in range(n))
+    langs = ["a", "b"] * 40
+    head = "x" * 30
+    model = crf.fit([head + run(g, 60) for g in langs], langs)
+    texts = [head + run(g, n) for n in (60, 5_000, 300_000) for g in langs[:6]]
+    assert crf.Scorer(model).predict(texts)[0] == langs[:6] * 3
+    weights = np.random.default_rng(2).normal(size=(crf.BUCKETS, 3))
+    word = run("a", 30)
+    flat = np.array([a[0] for a, has in crf.features([word]) if has[0]])
+    assert np.array_equal(flat, crf.long_features(word))
+    many = run("a", 40_000)
+    at = crf.long_features(many)
+    assert np.allclose(crf.emissions([word, many], weights), [weights[flat].sum(0) / len(flat) ** 0.5, weights[at].sum(0) / len(at) ** 0.5])
+
+
 # Personal data
 
 def slow_spans(text):
