@@ -37,7 +37,7 @@ PAGES, EPOCHS = 3200, 9
 # Fixed values of HTML: elements that break text into blocks, whose content is
 # no text, that close by themselves, and that close an open element of a kind.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option output p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split())
-SILENT = frozenset("script style noscript template title textarea iframe object svg math xmp noembed noframes".split())
+SILENT = frozenset("script style noscript template title textarea iframe svg xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "body": ("head",)}
 SCOPES = frozenset("table ul ol dl select body html".split())

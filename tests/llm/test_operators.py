@@ -495,6 +495,12 @@ def test_html_blocks():
         html.blocks(odd)
 
 
+def test_html_formulas_and_fallbacks():
+    """Text of math and object is the labeller's to judge; scripts and styles stay silent."""
+    got = html.blocks("<p>so <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds</p><object data=f><param name=a><p>A fallback</p></object><p>end<style>p{}</style>")
+    assert [b.text() for b in got] == ["so x = 2 holds", "A fallback", "end"]
+
+
 def test_html_labels(net):
     held = [html.page(h, html_pages.MARK) for h in html_pages.made_up(150, seed=99)]
     found = net.label([p for p, _ in held])
