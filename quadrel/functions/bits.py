@@ -62,6 +62,17 @@ def ceil_log2(x: int) -> int:
     return max(0, (x - 1).bit_length()) if x > 1 else 0
 
 
+def floor_log2(x: int) -> int:
+    """Largest h with 2**h <= x; 0 for x <= 1."""
+    return x.bit_length() - 1 if x > 1 else 0
+
+
+def log2_columns(x: Column) -> tuple[Column, Column]:
+    """(ceil, floor) of the binary logarithm of whole numbers, exact for any size; 0 for x <= 1."""
+    width = lambda n: F.length(F.bin(n)).cast("long")
+    return F.when(x > 1, width(x - 1)).otherwise(_lit(0)), F.when(x > 1, width(x) - 1).otherwise(_lit(0))
+
+
 def prefix(key: Column, levels: int) -> Column:
     """A key's ancestor so many levels up."""
     return F.shiftright(key, 2 * levels)

@@ -49,11 +49,13 @@ def subtree_groups(m: Matrix) -> DataFrame:
     shapes = materialise(shapes, "shapes")
     inner = shapes.where(F.col("level") <= h - 2).select("level", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("level"))).alias("d"))
     inner = inner.groupBy((F.col("level") - F.col("d")).alias("level"), F.expr("shiftright(key, cast(2 * d AS INT))").alias("key")).agg(F.count(F.lit(1)).alias("inner"))
-    reps = shapes.groupBy("level", "x", "y", "leaves").agg(F.min("key").alias("rep"))
-    full = shapes.join(reps, ["level", "x", "y", "leaves"]).join(inner, ["level", "key"], "left")
-    block = F.col("level") == h - 1
-    size = 2 + 8 * F.coalesce("inner", F.lit(0)) + 2 * F.col("leaves")
-    return full.select("level", "key", F.when(block, 0).otherwise(F.col("rep")).cast("long").alias("rep"), size.cast("long").alias("size"), "leaves")
+    # Blocks are all alike, so only what lies above them looks for its representative.
+    above = shapes.where(F.col("level") <= h - 2)
+    reps = above.groupBy("level", "x", "y", "leaves").agg(F.min("key").alias("rep"))
+    full = above.join(reps, ["level", "x", "y", "leaves"]).join(inner, ["level", "key"])
+    size = 2 + 8 * F.col("inner") + 2 * F.col("leaves")
+    nodes = full.select("level", "key", "rep", size.cast("long").alias("size"), "leaves")
+    return nodes.unionByName(shapes.where(F.col("level") == h - 1).select("level", "key", F.lit(0).cast("long").alias("rep"), F.lit(4).cast("long").alias("size"), "leaves"))
 
 
 def _below(nodes: DataFrame, tops: DataFrame, h: int) -> DataFrame:
@@ -80,8 +82,9 @@ def compress(m: Matrix) -> Compressed:
     target = pointers.select("level", "rep").distinct().withColumn("__first", F.expr(f"shiftleft(rep, cast(2 * ({h} - level) AS INT)) * 64L + level"))
     codes = ordinals(target, "__first", "target_code").select("level", "rep", "target_code")
     alive = nodes.join(_below(nodes, pointers, h), ["level", "key"], "left_anti")
-    marked = alive.join(pointers.select("level", "key", F.lit(True).alias("pruned")), ["level", "key"], "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
-    coded = marked.join(codes, ["level", "rep"], "left").withColumn("target_code", F.when(F.col("pruned"), F.col("target_code")))
+    # Codes meet the pointers only, not all nodes.
+    pointed = pointers.join(codes, ["level", "rep"]).select("level", "key", "target_code", F.lit(True).alias("pruned"))
+    coded = alive.join(pointed, ["level", "key"], "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
     masks = ordinals(leaf_masks(m), "key").select("ordinal", "mask")
     return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), masks, m.meta)
 
@@ -128,8 +131,8 @@ def pointer_leaf_skips(c: Compressed) -> DataFrame:
     return prefix_sums(p, "__first", "leaf_bits", "skipped_bits", before=False).drop("__first")
 
 
-def decode_compressed(c: Compressed) -> DataFrame:
-    """All ones: leaves of the pruned tree, and those that pointers stand for.
+def decoded_masks(c: Compressed) -> DataFrame:
+    """(key, mask) of all blocks: leaves of the pruned tree, and those that pointers stand for.
 
     A round copies what lies below the targets (leaves and further pointers) to
     the pointers found so far; there are as many rounds as pointers nest.  Leaf
@@ -152,7 +155,20 @@ def decode_compressed(c: Compressed) -> DataFrame:
         if open_.isEmpty():
             break
     keys = reduce(DataFrame.unionByName, found)
-    return cells_of_masks(ordinals(keys, "key").join(c.masks, "ordinal").select("key", "mask"))
+    return ordinals(keys, "key").join(c.masks, "ordinal").select("key", "mask")
+
+
+def decode_compressed(c: Compressed) -> DataFrame:
+    """(row, col) of all ones."""
+    return cells_of_masks(decoded_masks(c))
+
+
+def or_compressed(a: Compressed, b: Compressed) -> Matrix:
+    """Ones of either compressed matrix, block by block, as an uncompressed matrix."""
+    if a.meta.n != b.meta.n:
+        raise ValueError(f"matrices of different size: {a.meta.n} and {b.meta.n}")
+    both = decoded_masks(a).unionByName(decoded_masks(b)).groupBy("key").agg(F.bit_or("mask").alias("mask"))
+    return Matrix(cells_of_masks(both), a.meta)
 
 
 def multiply_compressed(a: Compressed, b: Compressed) -> Matrix:

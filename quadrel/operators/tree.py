@@ -37,6 +37,11 @@ def morton_sorted(m: Matrix) -> DataFrame:
     return m.keyed().repartitionByRange("key").sortWithinPartitions("key")
 
 
+def row_sorted(m: Matrix) -> DataFrame:
+    """(row, col) sorted by row, then column: range partitions, each sorted."""
+    return m.cells.select("row", "col").repartitionByRange("row", "col").sortWithinPartitions("row", "col")
+
+
 def nodes(m: Matrix) -> DataFrame:
     """(level, key): non-empty nodes; level 0 is the root, height - 1 the 2x2 blocks."""
     h = m.meta.height

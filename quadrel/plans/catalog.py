@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quadrel.functions.bits import ceil_log2, mask_mul, unmorton
+from quadrel.functions.bits import ceil_log2, log2_columns, mask_mul, unmorton
 from quadrel.matrix import Matrix
 from quadrel.operators import compress as comp
 from quadrel.operators import product, tree
 from quadrel.sources import files, generate
-from quadrel.storage import scratch
+from quadrel.storage import materialise, scratch
 
 SPACE = 1 << 18
 H = ceil_log2(SPACE)
@@ -47,8 +47,10 @@ def matrix(spark: SparkSession, sf_dir: str, name: str) -> Matrix:
         df = read("customer").select("c_custkey", "c_nationkey")
     else:
         df = lines.select(*{"ps": ("l_partkey", "l_suppkey"), "op": ("l_orderkey", "l_partkey"), "po": ("l_partkey", "l_orderkey")}[name])
-    top = df.agg(F.max(F.greatest(*df.columns))).head()[0] or 0
-    return Matrix.from_df(df, max(SPACE, top + 1))
+    # The tables are read once: the largest coordinate and the query use what is written here.
+    cells = materialise(df.distinct(), f"input-{name}")
+    top = cells.agg(F.max(F.greatest(*df.columns))).head()[0] or 0
+    return Matrix.from_df(cells, max(SPACE, top + 1), distinct=False)
 
 
 def _query(name: str, sql: str | None):
@@ -140,6 +142,11 @@ def boolean_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BLOCKS = "SELECT row >> 1 AS brow, col >> 1 AS bcol, CAST(bit_or(CAST(1 AS BIGINT) << CAST(2 * (row % 2) + col % 2 AS INT)) AS BIGINT) AS mask FROM {x} GROUP BY 1, 2"
 
 
+@_query("boolean_or_compressed", _with("cp", "ps") + "SELECT row, col FROM cp UNION SELECT row, col FROM ps")
+def boolean_or_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comp.or_compressed(comp.compress(matrix(spark, sf_dir, "cp")), comp.compress(matrix(spark, sf_dir, "ps"))).cells
+
+
 @_query("boolean_or_blocked", _with("cp", "ps", rest="u AS (SELECT row, col FROM cp UNION SELECT row, col FROM ps)") + _BLOCKS.format(x="u"))
 def boolean_or_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return product.boolean_or_blocked(matrix(spark, sf_dir, "cp"), matrix(spark, sf_dir, "ps"))
@@ -292,6 +299,61 @@ def from_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.from_dense(spark, [[int(r * c % 7 == 3) for c in range(16)] for r in range(16)]).cells
 
 
+@_query("row_sorted", _with("op") + "SELECT row, col FROM op ORDER BY row, col")
+def row_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.row_sorted(matrix(spark, sf_dir, "op"))
+
+
+@_query("edges_sorted", "SELECT true AS sorted, count(*) AS lines FROM (" + INPUTS["op"] + ")")
+def edges_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an edge list's files, in the order of their names, hold the lines in order by row, then column."""
+    path = scratch(spark, "edges")
+    files.write_edges(matrix(spark, sf_dir, "op"), path)
+    parts = F.split("value", " ")
+    lines = spark.read.text(path).select(F.struct(parts[0].cast("long").alias("row"), parts[1].cast("long").alias("col")).alias("cell"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = lines.withColumn("no", F.monotonically_increasing_id())
+    # Within a stretch that one task reads, each line against the one ahead of it; then stretch against stretch.
+    here = Window.partitionBy("file", "block").orderBy("no")
+    each = lines.withColumn("ok", F.coalesce(F.lag("cell").over(here) < F.col("cell"), F.lit(True)))
+    runs = each.groupBy("file", "block").agg(F.min("ok").alias("ok"), F.min("cell").alias("low"), F.max("cell").alias("high"), F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("file", "block")  # one row per stretch
+    joined = runs.withColumn("ok", F.col("ok") & F.coalesce(F.lag("high").over(order) < F.col("low"), F.lit(True)))
+    return joined.agg(F.coalesce(F.min("ok"), F.lit(True)).alias("sorted"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("lines"))
+
+
+@_query("logs", "SELECT CAST(x AS BIGINT) AS x, CAST(coalesce((SELECT min(h) FROM generate_series(0, 62) AS g(h) WHERE (CAST(1 AS HUGEINT) << h) >= x), 0) AS BIGINT) AS up, CAST(coalesce((SELECT max(h) FROM generate_series(0, 62) AS g(h) WHERE (CAST(1 AS HUGEINT) << h) <= x), 0) AS BIGINT) AS down FROM (SELECT i AS x FROM generate_series(0, 4100) AS a(i) UNION ALL SELECT (CAST(1 AS BIGINT) << i) + d FROM generate_series(13, 61) AS b(i), (VALUES (-1), (0), (1)) AS c(d))")
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary logarithms, rounded up and down, of small numbers and of those about powers of two."""
+    small = spark.range(4101).select(F.col("id").alias("x"))
+    large = spark.range(13, 62).select(F.explode(F.array(*[F.expr("shiftleft(1L, int(id))") + F.lit(d).cast("long") for d in (-1, 0, 1)])).alias("x"))
+    up, down = log2_columns(F.col("x"))
+    return small.unionByName(large).select("x", up.alias("up"), down.alias("down"))
+
+
+def _facts(m: Matrix, least: float, most: float) -> DataFrame:
+    """One row: whether the ones are distinct, lie in the square, and are from least to most."""
+    n, inside = m.meta.n, (F.col("row").between(0, m.meta.n - 1) & F.col("col").between(0, m.meta.n - 1))
+    per = m.cells.groupBy("row", "col").agg(F.count(F.lit(1)).alias("c"))
+    return per.agg((F.max("c") == 1).alias("distinct_ones"), F.min(inside).alias("inside"), F.count(F.lit(1)).between(least, most).alias("as_many"), F.lit(n).cast("long").alias("n"))
+
+
+@_query("random_matrix_facts", "SELECT CAST(n AS BIGINT) AS n, true AS distinct_ones, true AS inside, true AS as_many FROM (VALUES (1024), (8024), (65)) AS t(n)")
+def random_matrix_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly floor(n * n * density) ones, sparse and dense."""
+    out = [_facts(generate.random_matrix(spark, n, d), int(n * n * d), int(n * n * d)) for n, d in ((1024, 0.01), (8024, 10 / 10001), (65, 0.9))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@_query("random_matrix_bernoulli_facts", "SELECT CAST(n AS BIGINT) AS n, true AS distinct_ones, true AS inside, true AS as_many FROM (VALUES (1024), (8024), (65)) AS t(n)")
+def random_matrix_bernoulli_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of ones is within six standard deviations of its mean."""
+    out = []
+    for n, d in ((1024, 0.01), (8024, 10 / 10001), (65, 0.9)):
+        mean, off = n * n * d, 6 * (n * n * d * (1 - d)) ** 0.5
+        out.append(_facts(generate.random_matrix(spark, n, d, mode="bernoulli"), mean - off, mean + off))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @_query("random_matrix", None)
 def random_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.random_matrix(spark, 1024, 0.01).cells
@@ -302,7 +364,15 @@ def random_matrix_bernoulli(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate.random_matrix(spark, 1024, 10 / 10001, mode="bernoulli").cells
 
 
-@_query("dump", None)
+# Parentheses and leaves of that matrix, drawn by hand of a recursion over its quadrants.
+_DUMP = (
+    "(((()(())(())())(()()(())())(()(())()())(()(())(())()))((()(())(())())(()()(())(()))((())()()(()))((())()()()))"
+    "((()(())(())())((())()()(()))(()(())()(()))((())()()()))((()(())(())())((())()(())(()))((())(())()(()))()))",
+    "0001 0001 0100 0010 1000 1000 0010 0010 1000 0001 0001 0100 0100 0100 0100 0001 0010 1000 0001 0010 1000 1000 0010 0001 0100 0100 0001 0010",
+)
+
+
+@_query("dump", f"SELECT '4' AS height, '{_DUMP[0]}' AS tree, '{_DUMP[1]}' AS leaves")
 def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """height, tree and leaves of a literal 16 x 16 matrix."""
     m = generate.from_dense(spark, [[int(r * c % 7 == 3) for c in range(16)] for r in range(16)])
@@ -322,6 +392,7 @@ _OP_PO = _with("op", "po") + _PRODUCT.format(a="op", b="po")
 _wide("multiply_salted", _OP_PO, lambda op, po: product.multiply(op, po, salts=4).cells)
 _wide("multiply_blocked", _OP_PO, lambda op, po: product.multiply_blocked(op, po).cells)
 _wide("multiply_compressed", _OP_PO, lambda op, po: comp.multiply_compressed(comp.compress(op), comp.compress(po)).cells)
+_wide("boolean_or_compressed", _with("op", "po") + "SELECT row, col FROM op UNION SELECT row, col FROM po", lambda op, po: comp.or_compressed(comp.compress(op), comp.compress(po)).cells)
 _wide("product_flops", ORACLES["product_flops"].replace(_with("cp", "ps"), _with("op", "po")).replace("FROM cp", "FROM op").replace("FROM ps", "FROM po"), product.product_flops)
 _wide("boolean_or", _with("op", "po") + "SELECT row, col FROM op UNION SELECT row, col FROM po", lambda op, po: product.boolean_or(op, po).cells)
 _wide("boolean_or_blocked", _with("op", "po", rest="u AS (SELECT row, col FROM op UNION SELECT row, col FROM po)") + _BLOCKS.format(x="u"), product.boolean_or_blocked)

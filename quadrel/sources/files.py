@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadrel.matrix import Matrix, Meta
 from quadrel.operators.compress import Compressed
-from quadrel.operators.tree import morton_sorted
+from quadrel.operators.tree import morton_sorted, row_sorted
 
 
 def read_edges(spark: SparkSession, path: str, n: int | None = None, expected: int | None = None) -> Matrix:
@@ -26,8 +26,8 @@ def read_edges(spark: SparkSession, path: str, n: int | None = None, expected: i
 
 
 def write_edges(m: Matrix, path: str) -> None:
-    """The ones as "row col" lines."""
-    m.cells.select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"))).write.text(path)
+    """The ones as "row col" lines, sorted by row, then column, from file to file in the order of their names."""
+    row_sorted(m).select(F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string"))).write.text(path)
 
 
 def _write_meta(spark: SparkSession, meta: Meta, path: str) -> None:
@@ -55,7 +55,7 @@ def load_keyed(spark: SparkSession, path: str) -> DataFrame:
 
 def save_compressed(c: Compressed, path: str) -> None:
     """Node table by level, leaf masks by ordinal, metadata."""
-    c.tree.repartition("level").write.partitionBy("level").parquet(f"{path}/tree")
+    c.tree.repartitionByRange("level", "key").write.partitionBy("level").parquet(f"{path}/tree")
     c.masks.write.parquet(f"{path}/masks")
     _write_meta(c.tree.sparkSession, c.meta, path)
 

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
-CORE = ["multiply", "multiply_blocked", "boolean_or", "to_blocks", "nodes_per_level", "leaf_pair_histogram", "compress", "product_flops", "info"]
+CORE = ["multiply", "multiply_blocked", "boolean_or", "to_blocks", "nodes_per_level", "leaf_pair_histogram", "compress", "product_flops", "info", "boolean_or_compressed", "row_sorted", "edges_sorted", "logs", "random_matrix_facts", "random_matrix_bernoulli_facts", "dump"]
 
 
 def test_flagship(spark):

@@ -11,6 +11,7 @@ from quadrel.operators import compress as comp
 from quadrel.operators import product, tree
 from quadrel.sources import files, generate
 
+# Two literal 16 x 16 matrices.
 F1 = [(0, 1), (0, 2), (0, 3), (0, 12), (0, 14), (2, 3), (4, 4), (8, 4), (8, 8), (8, 10), (8, 11), (9, 6), (9, 9), (9, 10), (9, 11), (10, 10), (12, 13)]
 F2 = [(0, 1), (0, 2), (0, 3), (0, 12), (0, 14), (2, 3), (4, 4), (8, 4), (8, 6), (8, 9), (8, 10), (8, 11), (10, 11), (12, 12)]
 
@@ -181,3 +182,40 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["cmultiply", f"{a}.qmc", f"{a}.qmc"]) == 0
     assert ones(files.load(spark, f"{a}.qm.mul").cells) == ones(files.load(spark, f"{a}.qmc.mul").cells) == times(F1, F1)
     assert "17 ones" in capsys.readouterr().out
+
+
+def test_compressed_union(spark):
+    a, b = rand(40, 0.05, 11), rand(40, 0.05, 12)
+    got = comp.or_compressed(comp.compress(made(spark, a, 40)), comp.compress(made(spark, b, 40)))
+    assert ones(got.cells) == sorted(set(a) | set(b)) and got.meta.n == 40
+    with pytest.raises(ValueError):
+        comp.or_compressed(comp.compress(made(spark, a, 40)), comp.compress(made(spark, b, 41)))
+    assert ones(comp.or_compressed(comp.compress(made(spark, a, 40)), comp.compress(made(spark, [], 40))).cells) == sorted(set(a))
+
+
+def test_edge_lists_are_sorted(spark, tmp_path):
+    cells = rand(60, 0.2, 13)
+    files.write_edges(made(spark, random.Random(1).sample(cells, len(cells)), 60), f"file://{tmp_path}/x")
+    lines = [tuple(map(int, x.split())) for f in sorted((tmp_path / "x").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == sorted(cells)
+
+
+def test_logarithms():
+    from quadrel.functions.bits import floor_log2
+
+    for x in [*range(2, 3000), 2**61 - 1, 2**61, 2**61 + 1]:
+        assert 2 ** floor_log2(x) <= x < 2 ** (floor_log2(x) + 1) and 2 ** (ceil_log2(x) - 1) < x <= 2 ** ceil_log2(x)
+    assert [f(x) for f in (ceil_log2, floor_log2) for x in (0, 1)] == [0] * 4
+
+
+def test_random_matrices_by_the_first_draws(spark):
+    """An exact matrix holds the cells that were drawn first."""
+    import math
+
+    for n, p in ((30, 0.2), (30, 0.85), (5, 0.0), (3, 1.0)):
+        got = ones(generate.random_matrix(spark, n, p).cells)
+        assert len(got) == len(set(got)) == math.floor(n * n * p) and all(0 <= i < n > j >= 0 for i, j in got)
+    drawn = spark.createDataFrame([(x, 7 * x) for x in range(0, 9000, 3)], "id long, at long")
+    assert generate._cut(drawn, 9000, 1234) == 3 * 1233 + 1
+    many = [len(ones(generate.random_matrix(spark, 200, 0.03, seed, mode="bernoulli").cells)) for seed in range(4)]
+    assert len(set(many)) > 1 and all(abs(x - 1200) < 6 * (1200 * 0.97) ** 0.5 for x in many)
