@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadrel.llm import bpe, cnn, decontam, linedup, registry, simhash
-from quadrel.llm.common import materialise, table
+from quadrel.llm.common import materialise, scratch, table
+from quadrel.storage import mark, release
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, text): ids of each text, and the text decoded from them."""
-    path = public_tokenizers.path(registry.TOKENIZER)
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.encode(docs, public_tokenizers.path(registry.TOKENIZER), decoded=True)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 
@@ -64,5 +64,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = scratch(spark, name.replace(" ", "-"))
+        begun = mark()
+        docs = materialise(stage(spark, docs, sf_dir), name, path=kept)
+        release(spark, begun)  # what the stage itself wrote; its result is whole now
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,25 +28,52 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+_hooked = False
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the shared folder."""
+    """A fresh path in the shared folder; it goes when the driver ends, or earlier by release()."""
+    global _hooked
+    if not _hooked:
+        _hooked = True
+        atexit.register(_at_exit)
     _made.append(f"{shared_root(spark)}/quadrel-{tag}-{uuid.uuid4().hex}")
     return _made[-1]
 
 
-def release(spark: SparkSession) -> int:
-    """Delete what this process wrote to the shared folder; call it once results no longer read it."""
-    jvm, gone = spark.sparkContext._jvm, 0
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        gone += bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+def mark() -> int:
+    """How many paths this process has made so far: release() can go back to here."""
+    return len(_made)
+
+
+def _delete(paths: list[str], jvm, conf) -> int:
+    gone = 0
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        gone += bool(path.getFileSystem(conf).delete(path, True))
     return gone
 
 
-def materialise(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, tag)
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process wrote to the shared folder since a mark; call it once results no longer read it."""
+    paths = _made[since:]
+    del _made[since:]
+    return _delete(paths, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _at_exit() -> None:
+    """What is left goes when the driver ends, as no result can be read any more."""
+    from pyspark import SparkContext
+
+    if _made and SparkContext._jvm is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            context = SparkContext._active_spark_context
+            jvm = SparkContext._jvm
+            _delete(_made, jvm, context._jsc.hadoopConfiguration() if context else jvm.org.apache.hadoop.conf.Configuration())
+
+
+def materialise(df: DataFrame, tag: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
+    """Write df to the shared folder, to path if given, and read it back: cuts lineage, survives lost executors."""
+    path = path or scratch(df.sparkSession, tag)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -57,7 +57,11 @@ def test_release(spark):
     from quadrel import storage
 
     kept = storage.materialise(spark.range(3).toDF("x"), "release")
-    assert kept.count() == 3 and storage.release(spark) >= 1 and storage.release(spark) == 0
+    assert kept.count() == 3
+    begun = storage.mark()
+    other = storage.materialise(spark.range(2).toDF("x"), "release")
+    assert other.count() == 2 and storage.release(spark, begun) == 1 and kept.count() == 3
+    assert storage.release(spark) >= 1 and storage.release(spark) == 0
 
 
 def test_products_agree(spark):
