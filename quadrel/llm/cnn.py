@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import id_bucket, labelled_sample, small_batches
+from quadrel.llm.common import id_bucket, labelled_sample, small_batches, unused, with_columns
 
 WIDTH = 6
 FILTERS = 16
 UNIT = 256
 #: Labelled rows of each class (at most) on which the network is trained.
 PER_CLASS = 1200
-#: Bytes of a training text's chunks per step; scoring reads every byte.
-TRAIN_UNITS = 12
 #: Positions convolved at once: bounds a worker's memory whatever a text's length.
 BLOCK_UNITS = 1024
 #: Rows with this remainder of the id's checksum are held out.
@@ -90,13 +88,9 @@ def logits(texts: list[bytes], net: Network, tables: list[np.ndarray]) -> np.nda
     return np.add.reduceat(z, first) / np.maximum(1, counts - 1)
 
 
-def _window(raw: bytes, rng: np.random.Generator) -> np.ndarray:
-    """A padded training text; of a long one, some consecutive units."""
-    units = _units(raw)
-    at = int(rng.integers(0, units - TRAIN_UNITS + 1)) if units > TRAIN_UNITS else 0
-    part = raw[at * UNIT:(at + TRAIN_UNITS) * UNIT + WIDTH - 1]
-    size = min(units, TRAIN_UNITS) * UNIT + WIDTH - 1
-    return np.frombuffer(part + bytes(size - len(part)), np.uint8)
+def _padded(raw: bytes) -> np.ndarray:
+    """A whole training text, padded to units."""
+    return np.frombuffer(raw + bytes(_units(raw) * UNIT + WIDTH - 1 - len(raw)), np.uint8)
 
 
 def fit(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
@@ -114,7 +108,7 @@ def fit(texts: list[str], y: np.ndarray, steps: int = 500, batch: int = 32, rate
             now = rate * (1 - 0.9 * min(1.0, step / steps))
             g = {k: np.zeros_like(x) for k, x in p.items()}
             for r in rows:
-                s = _window(raws[r], rng)
+                s = _padded(raws[r])
                 n = len(s) - WIDTH + 1
                 h = p["filters"][0][s[:n]]
                 for k in range(1, WIDTH):
@@ -155,17 +149,18 @@ def _scored(docs: DataFrame, net: Network | None, score: str, predicted: str) ->
     """docs with two more columns of the given names."""
     small_batches(docs.sparkSession)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = docs.columns.index("text")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
         tables = net.pairs() if net is not None else []
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(batch.schema.get_field_index("text"))]
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(at)]
             p = np.full(len(texts), 0.5)
             if net is not None and texts:
                 p = 1 / (1 + np.exp(-np.clip(logits(texts, net, tables).astype(float), -60, 60)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, score, predicted])
+            yield [pa.array(p), pa.array((p >= 0.5).astype(np.int32))]
 
-    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(rows, f"{fields}, `{score}` double, `{predicted}` int")
+    return with_columns(docs, rows, [score, predicted], ["double", "int"])
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
@@ -175,4 +170,5 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
 
 def keep(docs: DataFrame, net: Network | None) -> DataFrame:
     """The rows that the network doesn't reject, with their own columns."""
-    return _scored(docs, net, "__quadrel_score", "__quadrel_predicted").where(F.col("__quadrel_predicted") == 1).select(*docs.columns)
+    score, predicted = unused(docs, "score", "predicted")
+    return _scored(docs, net, score, predicted).where(F.col(predicted) == 1).drop(score, predicted)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import labelled_sample, small_batches
+from quadrel.llm.common import labelled_sample, small_batches, tidied
 
 #: Labelled rows of each class (at most) on which the trees are fitted.
 PER_CLASS = 1500
@@ -185,6 +185,7 @@ def apply(docs: DataFrame, model: Trees | None) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score)."""
     small_batches(docs.sparkSession)
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [statistics(t.as_py()) for t in batch.column("text")]
