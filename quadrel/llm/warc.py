@@ -3,8 +3,8 @@
 A transaction is a request, a response or revisit, and a metadata record, each
 a standard WARC/1.1 record; the first and last name the second in
 WARC-Concurrent-To.  Archives are gzip files below a folder of any store that
-Spark writes to.  The reader walks each archive by Content-Length, so payloads
-may hold anything, record separators included.
+Spark writes to.  The reader inflates all members of an archive and walks it by
+Content-Length, so payloads may hold anything, record separators included.
 
 Defined results: a null html is an empty payload; a null url gives a record
 without WARC-Target-URI; a null page_id is kept as null (of equal payloads it
@@ -17,15 +17,17 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrel.llm.common import materialise, tidied
+
 #: Payloads below this size are always stored, never revisited.
 MIN_REVISIT_BYTES = 100
-#: Mean raw bytes of an archive; readers hold one archive in memory.
+#: Mean raw bytes of an archive; readers hold one compressed archive, and one record, in memory.
 ARCHIVE_BYTES = 8 << 20
 
 # Fixed values of the format.
@@ -93,22 +95,60 @@ def write_archives(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYT
      .option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(archive_bytes // (size + 1500)))).text(path))
 
 
-def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
-    """Records of one uncompressed archive, in RECORD_SCHEMA's order."""
+def inflate(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+    """What a gzip file holds, piece by piece, from all its members: archives often compress each record on its own."""
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
+        member, begin = zlib.decompressobj(31), at
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError(f"the gzip member at byte {begin} breaks off")
+            part = data[at:at + step]
+            yield member.decompress(part)
+            at += len(part) - len(member.unused_data)
+
+
+def parse(pieces: Iterable[bytes], payloads: bool = True) -> Iterator[tuple]:
+    """Records of one archive, given uncompressed in pieces, in RECORD_SCHEMA's order; holds one record and a piece."""
+    more, held, at = iter(pieces), bytearray(), 0
+
+    def grow() -> bool:
+        nonlocal held, at
+        piece = next(more, None)
+        if piece is None:
+            return False
+        del held[:at - begin]
+        held += piece
+        return True
+
+    begin = 0  # the archive's byte at which held begins
+    while True:
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", max(0, at - begin + looked - 3))) < 0:
+            looked = len(held) - (at - begin)
+            had = at
+            if not grow():
+                if looked:
+                    raise ValueError(f"broken WARC record at byte {at}")
+                return
+            begin = had
+        lines = held[at - begin:end].decode("utf-8").split(CRLF)
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
         h = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(h["Content-Length"])
-        block = data[end + 4:end + 4 + size]
-        if len(block) != size or data[end + 4 + size:end + 8 + size] != b"\r\n\r\n":
+        size, body = int(h["Content-Length"]), end + 4 - (at - begin)
+        while len(held) - (at - begin) < body + size + 4:
+            had = at
+            if not grow():
+                raise ValueError(f"broken WARC record at byte {at}")
+            begin = had
+        start = at - begin + body
+        block = bytes(held[start:start + size])
+        if held[start + size:start + size + 4] != b"\r\n\r\n":
             raise ValueError(f"broken WARC record at byte {at}")
-        at = end + 8 + size
+        at += body + size + 4
         kind, payload, n, digest = h["WARC-Type"], None, None, None
-        if kind in ("response", "revisit") and payloads:
+        if kind in ("response", "revisit"):
             cut = block.index(b"\r\n\r\n") + 4
             if kind == "response":
                 payload = block[cut:]
@@ -118,25 +158,36 @@ def parse(data: bytes, payloads: bool = True) -> Iterator[tuple]:
             else:
                 n = next(int(x[15:]) for x in block[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:"))
                 digest = h["WARC-Payload-Digest"].removeprefix("sha256:")
-        yield (kind, h["WARC-Record-ID"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), size, n, digest, payload, block.decode("utf-8") if kind in ("metadata", "request") else None)
+        fields = block.decode("utf-8") if kind in ("metadata", "request") else None
+        yield (kind, h["WARC-Record-ID"], h.get("WARC-Concurrent-To"), h.get("WARC-Refers-To"), h.get("WARC-Target-URI"), size, n, digest, payload if payloads else None, fields)
+
 
+#: Records of a batch, and bytes of payload after which one ends.
+BATCH_ROWS, BATCH_BYTES = 256, 4 << 20
 
-def read_records(spark: SparkSession, path: str, kinds: tuple[str, ...], payloads: bool) -> DataFrame:
-    """Records of the given kinds from all archives below path; payload null unless asked for."""
 
+def read_records(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records of all archives below path; payload null unless asked for."""
+
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.string()] * 5 + [pa.int64()] * 2 + [pa.string(), pa.binary(), pa.string()]
         names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
-        need = "response" in kinds or "revisit" in kinds
+
+        def out(some: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
         for batch in batches:
             for content in batch.column("content"):
-                data = zlib.decompress(content.as_py(), 31)
-                found = [r for r in parse(data, need) if r[0] in kinds]
-                for k in range(0, len(found), 256):
-                    cols = list(zip(*found[k:k + 256], strict=True))
-                    if not payloads:
-                        cols[8] = (None,) * len(cols[0])
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+                some, size = [], 0
+                for record in parse(inflate(content.as_py()), payloads):
+                    some.append(record)
+                    size += len(record[8] or b"")
+                    if len(some) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield out(some)
+                        some, size = [], 0
+                if some:
+                    yield out(some)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     return files.mapInArrow(rows, RECORD_SCHEMA)
@@ -146,11 +197,13 @@ def assemble(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     """One nested row per capture: record_id, record_type, payload fields, request, metadata.
 
     Requests and metadata find their capture through WARC-Concurrent-To.
-    Captures without either keep null there.
+    Captures without either keep null there.  The archives are read once; the
+    records go to the shared folder, from where each side is joined.
     """
-    main = read_records(spark, path, ("response", "revisit"), payloads)
+    records = materialise(read_records(spark, path, payloads), "warc-records")
+    main = records.where(F.col("kind").isin("response", "revisit"))
     # Identical rows wrote identical side records: one of each is enough.
-    side = {k: read_records(spark, path, (k,), False).where(F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id"))
+    side = {k: records.where((F.col("kind") == k) & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("record_id"))
             .agg(F.min(F.struct("record_id", "target_uri", "fields")).alias(k)) for k in ("request", "metadata")}
     meta = F.from_json(F.col("metadata.fields"), "page_id long, url string, refers_to long")
     return main.join(side["request"], "record_id", "left").join(side["metadata"], "record_id", "left").select(
@@ -158,5 +211,3 @@ def assemble(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
         F.struct("payload_bytes", "payload_digest", "payload", "block_bytes", "refers_to_record", "target_uri").alias("response"),
         "request", "metadata",
     )
-
-
