@@ -5,8 +5,9 @@ n-grams, hashed to one weight table; transitions between neighbouring words
 are learned, from training texts spliced of several languages.  Labels are
 scored by forward-backward.  All words of a batch form one chain that starts
 anew at each text; it is cut into segments whose transfer matrices are
-multiplied side by side, so a text of any length is handled exactly and in
-bounded memory steps.  A text's language has the largest mean probability.
+multiplied side by side.  A long text is read in blocks, forward for the vectors
+at their borders and then back, so one of any length is handled exactly and in
+bounded memory.  A text's language has the largest mean probability.
 
 Defined results: a null text or one without a letter gives `und` and score 0,
 as every text does when no language is learned; repeated rows each give a row;
@@ -19,20 +20,20 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import id_bucket, small_batches
+from quadrel.llm.common import SAMPLE_BYTES, id_bucket, small_batches, tidied
 
 BUCKETS = 1 << 14
-#: Texts of each language (about) and words of each text on which the model is fitted.
+#: Texts of each language (about) on which the model is fitted.
 PER_LANG = 250
-TRAIN_WORDS = 120
-#: Letters of one word (a stretch from anywhere in it) on which the model is fitted; scoring takes every letter.
-TRAIN_LETTERS = 4096
+#: Words of a training chain: a longer text gives several, so that every word is learned from.
+CHAIN_WORDS = 120
 #: Words of more letters are hashed one by one.
 SHORT = 30
 #: Languages up to which segments are worked side by side; with more, transfer
@@ -41,6 +42,8 @@ SEGMENT_LANGS = 64
 #: Word forms whose scores a worker keeps.
 CACHE = 400_000
 SEGMENT = 64
+#: Words worked at once, divided by a measure of the labels; texts of more letters than LONG are read piece by piece.
+BLOCK_WORDS, LONG = 1 << 16, 1 << 20
 FOLDS, HELD = 4, 2
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -129,18 +132,15 @@ class Chain:
     trans: np.ndarray  # log; row: label before
 
 
-def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
-    """Marginals of every label at every position.
+def _block(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray, segment: int, before: np.ndarray, after: np.ndarray | None) -> tuple[np.ndarray | None, np.ndarray]:
+    """Some positions in a row.  before: weights ahead of them; after: those behind them, None for a look ahead only.
 
-    emit: log scores (n, K); first: whether a position starts a chain (the first
-    position must).  Segments of equal length run side by side: first their
-    transfer matrices, then the vectors at their borders, then the positions.
+    Gives the marginals and the weights ahead of these positions seen from
+    behind; or None and the weights behind them (whole segments only).
+    Segments of equal length run side by side: first their transfer matrices,
+    then the vectors at their borders, then the positions.
     """
     n, k = emit.shape
-    if n == 0:
-        return np.zeros((0, k))
-    if k > SEGMENT_LANGS:
-        return _by_chain(emit, first, start, trans)[0]
     count = -(-n // segment)
     pad = count * segment - n
     kind = emit.dtype
@@ -165,34 +165,50 @@ def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np
         if i % 4 == 3 or i == segment - 1:
             move /= move.max(axis=(1, 2), keepdims=True)
     ahead, back = np.empty((count, k), kind), np.empty((count, k), kind)
-    v = np.full(k, 1 / k, kind)
+    v = before
     for j in range(count):
         ahead[j] = v
         v = v @ move[j]
         v = v / v.sum()
-    v = np.ones(k, kind)
+    if after is None:
+        return None, v
+    v = after
     for j in range(count - 1, -1, -1):
         back[j] = v
         v = move[j] @ v
         v = v / v.max()
+    behind = v
     alpha = np.empty((count, segment, k), kind)
     a = ahead
     for i in range(segment):
         a = step(a, i)
         a = a / a.sum(axis=1, keepdims=True)
         alpha[:, i] = a
-    out = np.empty_like(alpha)
     b = back
     for i in range(segment - 1, -1, -1):
         p = alpha[:, i] * b
-        out[:, i] = p / p.sum(axis=1, keepdims=True)
+        alpha[:, i] = p / p.sum(axis=1, keepdims=True)
         z = e[:, i] * b
         b = z @ t.T
         new = np.flatnonzero(cut[:, i])
         if len(new):
             b[new] = (z[new] @ s)[:, None]
         b = b / b.max(axis=1, keepdims=True)
-    return out.reshape(-1, k)[:n]
+    return alpha.reshape(-1, k)[:n], behind
+
+
+def posteriors(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray, segment: int = SEGMENT) -> np.ndarray:
+    """Marginals of every label at every position.
+
+    emit: log scores (n, K); first: whether a position starts a chain (the first
+    position must).
+    """
+    n, k = emit.shape
+    if n == 0:
+        return np.zeros((0, k))
+    if k > SEGMENT_LANGS:
+        return _by_chain(emit, first, start, trans)[0]
+    return _block(emit, first, start, trans, segment, np.full(k, 1 / k, emit.dtype), np.ones(k, emit.dtype))[0]
 
 
 def _by_chain(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,18 +258,10 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
         return Chain(names, np.zeros((BUCKETS, k)), np.zeros(k), np.zeros((k, k)))
     code = {x: i for i, x in enumerate(names)}
 
-    def stretch(word: str) -> str:
-        if len(word) <= TRAIN_LETTERS:
-            return word
-        at = int(rng.integers(0, len(word) - TRAIN_LETTERS + 1))
-        return word[at:at + TRAIN_LETTERS]
-
     chains = []
     for text, lang in zip(texts, langs, strict=True):
         ws = words_of(text)
-        at = int(rng.integers(0, max(1, len(ws) - TRAIN_WORDS + 1)))
-        if ws:
-            chains.append(([stretch(x) for x in ws[at:at + TRAIN_WORDS]], code[lang]))
+        chains += [(ws[at:at + CHAIN_WORDS], code[lang]) for at in range(0, len(ws), CHAIN_WORDS)]
     forms = {x: i for i, x in enumerate(sorted({x for c, _ in chains for x in c}))}
     # Buckets of each form one after the other, and where they begin.
     parts: list[np.ndarray] = [np.zeros(0, np.int64)] * len(forms)
@@ -311,11 +319,19 @@ def fit(texts: list[str], langs: list[str], steps: int = 90, batch: int = 64, ra
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Chain | None:
-    """Model fitted to a bounded sample of rows that have a language and are not held out."""
+    """Model fitted to a bounded sample of rows that have a language and are not held out.
+
+    Texts of more than SAMPLE_BYTES are left out; of a language with no other
+    text, the shortest is taken.
+    """
+    size = F.octet_length("text")
     rows = docs.where(F.col("lang").isNotNull() & (id_bucket("doc_id", FOLDS) != HELD) & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().collect()
-    if not counts:
+    least = {r["lang"]: r["least"] for r in rows.groupBy("lang").agg(F.min(size).alias("least")).collect()}
+    if not least:
         return None
+    huge = [F.col("lang").eqNullSafe(g) & (size == n) for g, n in least.items() if n > SAMPLE_BYTES]
+    rows = rows.where(reduce(Column.__or__, huge, size <= SAMPLE_BYTES))
+    counts = rows.groupBy("lang").count().collect()
     scale = 1 << 30
     share = docs.sparkSession.createDataFrame([(r["lang"], min(scale, per_lang * scale // r["count"] + 1)) for r in counts], "lang string, __share long")
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(scale))
@@ -345,30 +361,72 @@ class Scorer:
         index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
         return self.table[np.fromiter(map(index.__getitem__, words), np.int64, len(words))]
 
+    def _long(self, text: str) -> tuple[np.ndarray, int]:
+        """Mean marginals of one long text, and its words: forward to every block's border, then back block by block."""
+        k = len(self.model.langs)
+        block = max(1, BLOCK_WORDS // max(1, k // 8) // SEGMENT) * SEGMENT
+        text = text.lower()
+        # Borders lie between words, block words apart, so that a block's words can be read again.
+        edges, n, end = [0], 0, 0
+        for m in _WORD.finditer(text):
+            if m[0].isalpha() or any(map(str.isalpha, m[0])):
+                n, end = n + 1, m.end()
+                if n % block == 0:
+                    edges.append(end)
+        if n == 0:
+            return np.zeros(k), 0
+        if edges[-1] < end:
+            edges.append(end)
+
+        def part(j: int) -> tuple[np.ndarray, np.ndarray]:
+            emit = self.rows(words_of(text[edges[j]:edges[j + 1]])).astype(np.float64)
+            first = np.zeros(len(emit), bool)
+            first[0] = j == 0
+            return emit, first
+
+        before = [np.full(k, 1 / k)]
+        for j in range(len(edges) - 2):
+            before.append(_block(*part(j), self.model.start, self.model.trans, SEGMENT, before[-1], None)[1])
+        total, after = np.zeros(k), np.ones(k)
+        for j in range(len(edges) - 2, -1, -1):
+            post, after = _block(*part(j), self.model.start, self.model.trans, SEGMENT, before[j], after)
+            total += post.sum(axis=0)
+        return total / n, n
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Languages and scores; a text's don't depend on the others."""
         langs, score = ["und"] * len(texts), np.zeros(len(texts))
         words, owner, sizes = [], [], []
 
+        def tell(i: int, mean: np.ndarray) -> None:
+            mean = mean.round(9)  # beyond the rounding of sums in another order
+            best = int(mean.argmax())
+            langs[i], score[i] = self.model.langs[best], min(1.0, float(mean[best]))
+
         def flush() -> None:
             if not words:
                 return
             first = np.zeros(len(words), bool)
             begin = np.cumsum(sizes) - sizes
             first[begin] = True
-            post = posteriors(self.rows(words), first, self.model.start, self.model.trans)
+            post = posteriors(self.rows(words).astype(np.float64), first, self.model.start, self.model.trans)
             mean = np.add.reduceat(post, begin) / np.array(sizes)[:, None]
             for j, i in enumerate(owner):
-                best = int(mean[j].argmax())
-                langs[i], score[i] = self.model.langs[best], min(1.0, float(mean[j, best]))
+                tell(i, mean[j])
             words.clear(), owner.clear(), sizes.clear()
 
         for i, text in enumerate(texts):
+            if text and len(text) > LONG:
+                mean, n = self._long(text)
+                if n:
+                    tell(i, mean)
+                continue
             ws = words_of(text)
             if ws:
                 words += ws
                 owner.append(i)
                 sizes.append(len(ws))
-            if len(words) > 200_000 // self.wide:
+            if len(words) > BLOCK_WORDS // self.wide:
                 flush()
         flush()
         return langs, score
@@ -378,6 +436,7 @@ def predict(docs: DataFrame, model: Chain | None) -> DataFrame:
     """(doc_id, lang_pred, score) of every row; only the text is read."""
     small_batches(docs.sparkSession)
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model is not None else None
         for batch in batches:
