@@ -14,7 +14,9 @@ far as it goes; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+import inspect
 import re
+import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,21 +25,27 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import small_batches
+from quadrel.llm.common import scratch, small_batches, tidied
+from quadrel.storage import shared_root
 
 HIDDEN, PATH_DIM, WORD_DIM = 16, 14, 6
+#: Elements above a block that its tag path holds, the nearest ones.
+DEPTH = 64
+#: Blocks times pages run side by side, positions of a chunk of a run, and characters of html parsed before labelling.
+CELLS, STEPS, CHARS = 1 << 15, 1 << 12, 4 << 20
 PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 11
 NUMBERS = 9
 #: Made-up pages for training, and passes over them.
-PAGES, EPOCHS = 3200, 9
+PAGES, EPOCHS = 3200, 10
 
 # Fixed values of HTML: elements that break text into blocks, whose content is
 # no text, that close by themselves, and that close an open element of a kind.
 BLOCKS = frozenset("address article aside blockquote body button canvas caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option output p pre search section select summary table tbody td textarea tfoot th thead tr ul video".split())
-SILENT = frozenset("script style noscript template title textarea iframe svg xmp noembed noframes".split())
+SILENT = frozenset("script style template title textarea iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("tr", "td", "th", "thead"), "body": ("head",)}
 SCOPES = frozenset("table ul ol dl select body html".split())
@@ -48,23 +56,76 @@ _NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-@dataclass
+@dataclass(slots=True)
+class Element:
+    """An open or closed element: its tag, its path token (tag, classes, id, role), its parent."""
+
+    tag: str
+    token: str
+    up: Element | None
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
+    within: Element | None
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Path tokens of the nearest DEPTH elements, the nearest last."""
+        out, at = [], self.within
+        while at is not None and len(out) < DEPTH:
+            out.append(at.token)
+            at = at.up
+        return tuple(out[::-1])
+
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
 
 
+class _Stack:
+    """Open elements.  What is open, and what is open in the innermost scope (a table, a list, the body), is known by counts, so that each element costs the same however deep it lies."""
+
+    def __init__(self) -> None:
+        self.open: list[Element] = []
+        self.counts: dict[str, int] = {}
+        self.scopes: list[dict[str, int]] = [{}]
+
+    def push(self, tag: str, token: str) -> None:
+        self.open.append(Element(tag, token, self.open[-1] if self.open else None))
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in SCOPES:
+            self.scopes.append({})
+        else:
+            self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+
+    def pop(self) -> str:
+        tag = self.open.pop().tag
+        self.counts[tag] -= 1
+        if tag in SCOPES:
+            self.scopes.pop()
+        else:
+            self.scopes[-1][tag] -= 1
+        return tag
+
+    def has(self, tag: str) -> bool:
+        return self.counts.get(tag, 0) > 0
+
+    def shut(self, tags: tuple[str, ...]) -> None:
+        """Close these where they are open in the innermost scope, with all that is open in them."""
+        left = sum(self.scopes[-1].get(t, 0) for t in tags)
+        while left > 0:
+            left -= self.pop() in tags
+
+
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, path token
+    stack = _Stack()
     now: Block | None = None
     html = html or ""
-    at, links = 0, 0
+    at = 0
 
     def take(raw: str) -> None:
         nonlocal now
@@ -72,9 +133,9 @@ def blocks(html: str | None) -> list[Block]:
         if now is None:
             if not text.strip():
                 return
-            now = Block(tuple(t for _, t in stack))
+            now = Block(stack.open[-1] if stack.open else None)
         now.parts.append(text)
-        if links:
+        if stack.has("a"):
             now.linked += len(text)
 
     def end() -> None:
@@ -95,10 +156,9 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(t == tag for t, _ in stack):
-                while stack:
-                    t, _ = stack.pop()
-                    links -= t == "a"
+            if stack.has(tag):
+                while True:
+                    t = stack.pop()
                     if t in BLOCKS:
                         end()
                     if t == tag:
@@ -121,16 +181,7 @@ def blocks(html: str | None) -> list[Block]:
             end()
         if tag in VOID:
             continue
-        shut = CLOSES.get(tag, ())
-        if tag in PHRASING and any(t == "p" for t, _ in stack):
-            shut = (*shut, "p")
-        for k in range(len(stack) - 1, -1, -1):
-            t = stack[k][0]
-            if t in shut:
-                links -= sum(x == "a" for x, _ in stack[k:])
-                del stack[k:]
-            elif t in SCOPES:
-                break
+        stack.shut((*CLOSES.get(tag, ()), *(("p",) if tag in PHRASING else ())))
         if tag == "head":
             close = re.compile(r"</head\b[^>]*>|<body\b", re.I).search(html, at)
             if close:
@@ -139,8 +190,7 @@ def blocks(html: str | None) -> list[Block]:
         token = tag
         if "=" in m[3]:
             token += "".join(f" {'#' if a.lower() == 'id' else '.'}{q or r or s}" for a, q, r, s in _NAME.findall(m[3]))
-        stack.append((tag, token))
-        links += tag == "a"
+        stack.push(tag, token)
     end()
     return [b for b in out if "".join(b.parts).strip()]
 
@@ -286,16 +336,43 @@ class Labeller:
         np.add.at(g["word"], src["wid"], np.repeat(flat[:, PATH_DIM:-NUMBERS] * src["ww"][:, None], src["wn"], axis=0))
         return g, loss
 
-    def label(self, pages: list[Page], batch: int = 64) -> list[np.ndarray]:
-        """Whether each block of each page is main text; pages of like length run together."""
+    def _ahead(self, k: str, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """One direction's part of the logits; the gates of STEPS positions at a time."""
+        h = np.zeros((len(x), HIDDEN), x.dtype)
+        c = np.zeros_like(h)
+        n = x.shape[1]
+        z, w = np.zeros(mask.shape, x.dtype), self.p["out"][:HIDDEN] if k == "f" else self.p["out"][HIDDEN:]
+        step = max(1, STEPS // len(x))
+        for lo in range(0, n, step):
+            at = range(lo, min(lo + step, n))
+            if k == "b":
+                at = range(n - 1 - lo, max(n - 1 - lo - step, -1), -1)
+            first = min(at[0], at[-1])
+            gates = x[:, first:first + len(at)] @ self.p[k + "x"] + self.p[k + "c"]
+            for t in at:
+                g = gates[:, t - first] + h @ self.p[k + "h"]
+                s = 1 / (1 + np.exp(-np.clip(g[:, :3 * HIDDEN], -30, 30)))
+                m = mask[:, t, None]
+                c = np.where(m, s[:, HIDDEN:2 * HIDDEN] * c + s[:, :HIDDEN] * np.tanh(g[:, 3 * HIDDEN:]), c)
+                h = np.where(m, s[:, 2 * HIDDEN:] * np.tanh(c), h)
+                z[:, t] = h @ w
+        return z
+
+    def label(self, pages: list[Page], cells: int = CELLS) -> list[np.ndarray]:
+        """Whether each block of each page is main text; pages of like length run together, as many as make so many cells."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i in range(len(pages)) if pages[i].texts), key=lambda i: len(pages[i].texts))
-        for at in range(0, len(order), batch):
-            some = order[at:at + batch]
+        at = 0
+        while at < len(order):
+            to = at + 1
+            while to < len(order) and (to + 1 - at) * len(pages[order[to]].texts) <= cells:
+                to += 1
+            some = order[at:to]
             x, mask, _ = self.inputs([pages[i] for i in some])
-            z, _ = self.logits(x, mask)
+            z = x @ self.p["skip"] + self._ahead("f", x, mask) + self._ahead("b", x, mask) + self.p["off"][0]
             for row, i in enumerate(some):
                 out[i] = z[row, :len(pages[i].texts)] > 0
+            at = to
         return out
 
 
@@ -331,19 +408,47 @@ def trained() -> Labeller:
     return fit([page(h, MARK) for h in made_up(PAGES)])
 
 
+def stored(spark: SparkSession) -> Labeller:
+    """trained(), kept in the shared folder under a name that depends on its making, so that other drivers find it."""
+    from quadrel.llm import html_pages
+
+    making = zlib.crc32("".join(inspect.getsource(m) for m in (html_pages, sys.modules[__name__])).encode())
+    path = f"{shared_root(spark)}/quadrel-html-{making:08x}"
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    schema = "name string, shape array<int>, data binary"
+    if not fs.exists(there):
+        rows = [(k, list(v.shape), v.tobytes()) for k, v in trained().p.items()]
+        new = scratch(spark, "html-net")
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(new)
+        fs.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(new), there)  # whole or not at all
+    net = Labeller()
+    net.p = {r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(r["shape"]) for r in spark.read.schema(schema).parquet(path).collect()}
+    return net
+
+
 def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     """(page_id, url, text, n_chars, n_blocks, n_main) for every row of pages (page_id, url, html)."""
     small_batches(pages.sparkSession, 500)
-    net = net or trained()
+    net = net or stored(pages.sparkSession)
+
+    def labelled(some: pa.RecordBatch) -> pa.RecordBatch:
+        found = [page(h.as_py())[0] for h in some.column("html")]
+        main = net.label(found)
+        texts = [" ".join(t for t, k in zip(p.texts, keep, strict=True) if k) for p, keep in zip(found, main, strict=True)]
+        return pa.RecordBatch.from_arrays(
+            [some.column("page_id"), some.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p.texts) for p in found], pa.int32()), pa.array([int(k.sum()) for k in main], pa.int32())],
+            ["page_id", "url", "text", "n_chars", "n_blocks", "n_main"])
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [page(h.as_py())[0] for h in batch.column("html")]
-            main = net.label(found)
-            texts = [" ".join(t for t, k in zip(p.texts, keep, strict=True) if k) for p, keep in zip(found, main, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array([len(p.texts) for p in found], pa.int32()), pa.array([int(k.sum()) for k in main], pa.int32())],
-                ["page_id", "url", "text", "n_chars", "n_blocks", "n_main"])
+            size = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("html")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(batch):  # pages of about CHARS characters together
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS)))
+                yield labelled(batch.slice(at, to - at))
+                at = to
 
     some = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return some.mapInArrow(rows, "page_id long, url string, text string, n_chars long, n_blocks int, n_main int")
