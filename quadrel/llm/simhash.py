@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import materialise, small_batches
+from quadrel.llm.common import materialise, measured, small_batches, tidied, unused
 
 THRESHOLD = 4
 SHINGLE = 4
@@ -68,6 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, th, fp) of every row; fp's 64 bits are the fingerprint, th is a hash of the text."""
     small_batches(docs.sparkSession)
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64).view(np.int64)
@@ -218,11 +219,12 @@ def dedup(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs that stand for their component: those with its smallest id (without any id: with its smallest text hash)."""
+    d, t = unused(docs, "doc", "th")
     named = dedup(docs, threshold, shingle)
     stays = F.when(F.col("component_id").isNull(), F.col("th") == F.col("component_th")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
-    gone = named.where(~stays).select(F.col("doc_id").alias("__d"), F.col("th").alias("__th")).distinct()
+    gone = measured(named.where(~stays).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct(), "near-duplicates")
     th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (th == F.col("__th")), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (th == F.col(t)), "left_anti")
 
 
 def hexed(found: DataFrame) -> DataFrame:
