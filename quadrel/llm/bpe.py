@@ -4,12 +4,14 @@ The corpus is dealt into chunks of bounded size by a hash of the rows.  Each
 chunk's distinct words go, sorted and packed, to the word table's buckets: a
 word belongs to one bucket, so it is encoded once however many chunks hold it.
 The ids travel back to the chunks, where every document gets its ids by word
-position.  Decoding joins ids to the pieces of the vocabulary, whose size the
-tokenizer file fixes.
+position.  Decoding joins the distinct ids of some documents to the vocabulary's
+(id, piece) table, whose size the tokenizer file fixes, and puts the pieces back
+by position.
 
 Defined results: a null text is an empty text (no ids, empty decoded text);
 repeated rows each give a row; very long texts are encoded whole; an empty
-table gives an empty result; other columns of the input don't matter.
+table gives an empty result; other columns of the input don't matter.  An id
+that the vocabulary lacks fails decoding.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadrel.llm.common import small_batches
+from quadrel.llm.common import small_batches, tidied, tidy, with_columns
 
-#: Raw bytes of text in a chunk, about.
+#: Raw bytes of text in a chunk, about; of a small table, that makes fewer than LEAST_CHUNKS, at least LEAST_BYTES.
 CHUNK_BYTES = 8 << 20
+LEAST_CHUNKS, LEAST_BYTES = 48, 1 << 19
+#: Documents whose ids a task works out at once.
+PART_ROWS = 512
 #: Distinct words a task holds before it hands them on; a later repeat costs a few bytes, not a result.
 HELD_WORDS = 250_000
 
@@ -43,15 +48,23 @@ _SIMPLE = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff]*")
 _WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
 
 
+@lru_cache(maxsize=1)
+def _told(path: str) -> tuple[dict[str, int], pa.Table]:
+    """What the tokenizer file tells: added tokens, and (id, piece) of all; the only thing that a worker keeps."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    added = {a["content"]: a["id"] for a in told["added_tokens"]}
+    ids = told["model"]["vocab"] | added
+    return added, pa.table({"id": pa.array(ids.values(), pa.int32()), "piece": pa.array(ids.keys(), pa.string())})
+
+
 class Splitter:
     """Splits a text as the tokenizer does: added tokens, normaliser, split pattern."""
 
     def __init__(self, path: str):
         self.path = path
-        with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
-        self.added = {a["content"]: a["id"] for a in added}
-        self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if added else None
+        self.added = _told(path)[0]
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.added)) + ")") if self.added else None
 
     @cached_property
     def tokenizer(self):
@@ -100,13 +113,6 @@ def _byte_chars() -> list[str]:
 
 
 _BYTE_CHARS = _byte_chars()
-_SPLITTERS: dict[str, Splitter] = {}
-
-
-def _splitter(path: str) -> Splitter:
-    if path not in _SPLITTERS:
-        _SPLITTERS[path] = Splitter(path)
-    return _SPLITTERS[path]
 
 
 def _pack(words: list[str]) -> bytes:
@@ -144,7 +150,7 @@ def _collect_words(path: str, buckets: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        split, expand = _splitter(path), zstandard.decompress
+        split, expand = Splitter(path), zstandard.decompress
         seen: dict[int, set[str]] = {}
         held = 0
 
@@ -168,7 +174,7 @@ def _collect_words(path: str, buckets: int):
                     seen, held = {}, 0
         yield from out()
 
-    return rows
+    return tidied(rows)
 
 
 def _encode_bucket(path: str):
@@ -177,7 +183,7 @@ def _encode_bucket(path: str):
     def run(table: pa.Table) -> pa.Table:
         import zstandard
 
-        split = _splitter(path)
+        split = Splitter(path)
         known: dict[bytes, bytes] = {}
         ids_out = []
         for blob in table.column("words"):
@@ -190,11 +196,14 @@ def _encode_bucket(path: str):
                 ids.append(got)
             lengths = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
             ids_out.append(zstandard.compress(lengths.tobytes() + b"".join(ids), 3))
+        known.clear()
+        tidy()
         return pa.table({"chunk": table.column("chunk").cast(pa.int32()), "words": table.column("words").cast(pa.binary()), "ids": pa.array(ids_out, pa.binary())})
 
     return run
 
 
+@tidied
 def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts go compressed to their chunk."""
     import zstandard
@@ -206,94 +215,115 @@ def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(k, "text", packed)
 
 
-def _apply_chunk(path: str):
-    """Reduce side: the ids of each document of a chunk, joined back by word position."""
+def _word_ids(table: pa.Table) -> tuple[dict[str, int], np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk's words with their numbers; by number, where a word's ids begin and how many they are; all ids."""
+    import zstandard
+
+    index: dict[str, int] = {}
+    lengths, flats = [], []
+    for words, ids in zip(table.column("words"), table.column("ids"), strict=True):
+        names = _unpack(words.as_py())
+        data = zstandard.decompress(ids.as_py())
+        size = np.frombuffer(data, np.uint32, len(names)).astype(np.int64)
+        flat = np.frombuffer(data, np.uint32, offset=4 * len(names))
+        fresh = np.zeros(len(names), bool)  # a word that came from two tasks keeps its first ids
+        for i, w in enumerate(names):
+            before = len(index)
+            index.setdefault(w.decode("utf-8", "surrogatepass"), before)
+            fresh[i] = len(index) > before
+        if not fresh.all():
+            flat, size = flat[np.repeat(fresh, size)], size[fresh]
+        lengths.append(size)
+        flats.append(flat)
+    size = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+    flat = np.concatenate(flats).astype(np.int32) if flats else np.empty(0, np.int32)
+    return index, np.cumsum(size) - size, size, flat
+
+
+def _apply_chunk(path: str, decoded: bool):
+    """Reduce side: the ids of each document of a chunk, joined back by word position; its pieces too, if asked for."""
 
     def run(_key, docs: pa.Table, table: pa.Table) -> pa.Table:
         import zstandard
 
-        split = _splitter(path)
-        index: dict[str, int] = {}
-        lengths, flats = [], []
-        for words, ids in zip(table.column("words"), table.column("ids"), strict=True):
-            names = _unpack(words.as_py())
-            data = zstandard.decompress(ids.as_py())
-            for w in names:
-                index.setdefault(w.decode("utf-8", "surrogatepass"), len(index))
-            fresh = len(index) - sum(map(len, lengths))
-            size = np.frombuffer(data, np.uint32, len(names)).astype(np.int64)
-            flat = np.frombuffer(data, np.uint32, offset=4 * len(names))
-            if fresh != len(names):  # a word came from two tasks: keep its first ids only
-                have = sum(map(len, lengths))
-                keep, nxt = np.zeros(len(names), bool), have
-                for i, w in enumerate(names):
-                    if index[w.decode("utf-8", "surrogatepass")] == nxt:
-                        keep[i] = True
-                        nxt += 1
-                flat, size = flat[np.repeat(keep, size)], size[keep]
-            lengths.append(size)
-            flats.append(flat)
-        size = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-        flat = np.concatenate(flats).astype(np.int32) if flats else np.empty(0, np.int32)
-        start = np.cumsum(size) - size
-        expand = zstandard.decompress
-        values, ends = [], [0]
-        for packed in docs.column("text"):
-            text = expand(packed.as_py()).decode("utf-8", "surrogatepass")
-            at = np.fromiter(map(index.__getitem__, split.words(text)), np.int64)
-            n = size[at]
-            total = int(n.sum())
-            first = np.repeat(start[at] - (np.cumsum(n) - n), n)
-            values.append(flat[first + np.arange(total)])
-            ends.append(ends[-1] + total)
-        ids = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(values) if values else np.empty(0, np.int32), pa.int32()))
-        return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "ids": ids.cast(pa.list_(pa.int32()))})
+        split, expand = Splitter(path), zstandard.decompress
+        index, start, size, flat = _word_ids(table)
+        pieces = vocabulary(path) if decoded else None
+        out = []
+        for lo in range(0, docs.num_rows, PART_ROWS):
+            part = docs.slice(lo, PART_ROWS)
+            values, ends = [], [0]
+            for packed in part.column("text"):
+                text = expand(packed.as_py()).decode("utf-8", "surrogatepass")
+                at = np.fromiter(map(index.__getitem__, split.words(text)), np.int64)
+                n = size[at]
+                total = int(n.sum())
+                first = np.repeat(start[at] - (np.cumsum(n) - n), n)
+                values.append(flat[first + np.arange(total)])
+                ends.append(ends[-1] + total)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values), pa.int32()))
+            found = {"doc_id": part.column("doc_id").cast(pa.int64()), "ids": ids}
+            if pieces is not None:
+                found["text"] = _joined(ids, pieces)
+            out.append(pa.table(found))
+        made = [("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))] + [("text", pa.string())] * decoded
+        result = pa.concat_tables(out) if out else pa.schema(made).empty_table()
+        tidy()
+        return result
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>) for every row of docs (doc_id, text), added tokens recognised, none put in."""
+def encode(docs: DataFrame, tokenizer: str, chunk_bytes: int = CHUNK_BYTES, decoded: bool = False) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of docs (doc_id, text), added tokens recognised, none put in.
+
+    decoded adds text, which decode() would give, where the ids are made: they need not travel again.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    chunks = max(1, -(-size // chunk_bytes))
+    chunks = max(1, -(-size // chunk_bytes), min(LEAST_CHUNKS, -(-size // LEAST_BYTES)))
     buckets = max(1, round(chunks**0.75))  # distinct words grow more slowly than text
-    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
-    # One exchange of the texts serves both the word table and the join back.
-    packed = docs.mapInArrow(_pack_texts, "doc_id long, text binary, chunk int").repartition(chunks, "chunk")
+    docs = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))
+    # One exchange of the texts serves both the word table and the join back; a task has one chunk, on both sides.
+    packed = docs.mapInArrow(_pack_texts, "doc_id long, text binary, chunk int").repartitionById(chunks, F.col("chunk"))
     found = packed.mapInArrow(_collect_words(tokenizer, buckets), "bucket int, chunk int, words binary")
-    coded = found.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer), "chunk int, words binary, ids binary")
-    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_apply_chunk(tokenizer), "doc_id long, ids array<int>")
+    coded = found.groupBy("bucket").applyInArrow(_encode_bucket(tokenizer), "chunk int, words binary, ids binary").repartitionById(chunks, F.col("chunk"))
+    schema = "doc_id long, ids array<int>" + ", text string" * decoded
+    return packed.groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInArrow(_apply_chunk(tokenizer, decoded), schema)
 
 
-def vocabulary(tokenizer: str) -> list[str]:
-    """Pieces by id; the tokenizer file bounds their number."""
-    with open(tokenizer, encoding="utf-8") as f:
-        told = json.load(f)
-    ids = told["model"]["vocab"] | {a["content"]: a["id"] for a in told["added_tokens"]}
-    out = [""] * (max(ids.values()) + 1)
-    for piece, i in ids.items():
-        out[i] = piece
-    return out
+def vocabulary(tokenizer: str) -> pa.Table:
+    """(id, piece); the tokenizer file bounds the number of rows."""
+    return _told(tokenizer)[1]
+
+
+def _joined(ids: pa.ListArray, pieces: pa.Table) -> pa.Array:
+    """Texts of lists of ids: each distinct id is joined to its piece once, the pieces go back by position."""
+    flat = ids.flatten().dictionary_encode()
+    wanted = pa.table({"id": flat.dictionary, "at": pa.array(np.arange(len(flat.dictionary)), pa.int64())})
+    found = wanted.join(pieces, "id", join_type="inner", use_threads=False).sort_by("at")
+    if found.num_rows != len(wanted):
+        raise ValueError("an id is not in the vocabulary")
+    by_position = found.column("piece").combine_chunks().take(flat.indices).cast(pa.large_string())
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
+    lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), by_position)
+    return pc.binary_join(lists, pa.scalar(" ", pa.large_string())).cast(pa.string())
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """Adds text (in place of a column of that name): the pieces of ids in order, joined as a tokenizer without a decoder does, by one space."""
-
+    small_batches(encoded.sparkSession)
     encoded = encoded.drop("text")
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pa.array(vocabulary(tokenizer), pa.string())
+    at = encoded.columns.index("ids")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+        pieces = vocabulary(tokenizer)
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("ids")).fill_null([])
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))])
-            found = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pieces.take(ids.flatten()).cast(pa.large_string()))
-            text = pc.binary_join(found, pa.scalar(" ", pa.large_string())).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
-
-    fields = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes)
-    return encoded.mapInArrow(rows, f"{fields}, text string")
+            yield [_joined(batch.column(at).fill_null([]), pieces)]
+
+    return with_columns(encoded, rows, ["text"], ["string"])
 
 
 def digests(encoded: DataFrame) -> DataFrame:
