@@ -27,10 +27,14 @@ BROADCAST_BYTES = 16 << 20
 
 
 def measured(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder, with a hint to broadcast it if it is measured to be small."""
+    """df (numbers, structs of numbers and strings), written to the shared folder, with a hint to broadcast it if it is measured to be small.
+
+    A row counts 128 bytes, what a hash table takes, 16 for each value, and its strings.
+    """
     kept = materialise(df, tag)
-    text = [F.octet_length(c) for c, t in kept.dtypes if t == "string"]
-    size = kept.agg(F.sum(sum(map(lambda x: F.coalesce(x, F.lit(0)), text), F.lit(64 + 8 * len(kept.columns))).cast("long"))).head()[0] or 0
+    values = lambda t: sum(values(f.dataType) for f in t.fields) if isinstance(t, StructType) else 1
+    text = [F.coalesce(F.octet_length(c), F.lit(0)) for c, t in kept.dtypes if t == "string"]
+    size = kept.agg(F.sum(sum(text, F.lit(128 + 16 * values(kept.schema))).cast("long"))).head()[0] or 0
     return F.broadcast(kept) if size <= BROADCAST_BYTES else kept
 
 
