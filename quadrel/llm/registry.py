@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrel.llm import bpe, cnn, crf, decontam, html, linedup, pii, rules, simhash, warc
+from quadrel.llm import bpe, cnn, crf, decontam, html, linedup, pii, rules, simhash, simhash_sql, warc
 from quadrel.llm.common import id_bucket, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -17,9 +17,7 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(TOKENIZER)
-    coded = bpe.encode(table(spark, sf_dir, "documents"), path)
-    return bpe.digests(bpe.decode(coded, path))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), decoded=True))
 
 
 def op3_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +62,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.hexed(simhash.dedup(table(spark, sf_dir, "documents")))
 
 
+def rules_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7_rules, which SQL can express, without the trees' verdict."""
+    return rules.apply(table(spark, sf_dir, "documents"), None).drop("kept", "score")
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base spans of op8_pii, which SQL can express, without the method's."""
+    return pii.base_report(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "rules_base": rules_base,
+    "pii_base": pii_base,
     "op1_html": op1_html,
     "op2_bpe": op2_bpe,
     "op3_linedup": op3_linedup,
@@ -78,6 +88,54 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op10_simhash": simhash_sql.oracle(simhash.SHINGLE, simhash.THRESHOLD),
+    "rules_base": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), l AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines
+            FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+        ), x AS (
+            SELECT r, k, count(*) OVER (PARTITION BY r, a, b, c) AS n
+            FROM (SELECT r, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM (SELECT r, w, unnest(generate_series(1, len(w) - 2)) AS k FROM d))
+        ), y AS (
+            SELECT r, count(DISTINCT k + o) AS n_repeat_words FROM x, (VALUES (0), (1), (2)) AS s(o) WHERE n > 1 GROUP BY r
+        ), z AS (
+            SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+            FROM d LEFT JOIN l USING (r) LEFT JOIN y USING (r)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM z
+    """,
+    "pii_base": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents
+        ), p AS (
+            SELECT * FROM (VALUES (0, 'email'), (1, 'ip'), (2, 'card'), (3, 'phone')) AS v(rank, kind)
+        ), h AS (
+            SELECT r, rank, kind, hits, CASE rank WHEN 0 THEN regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_split_to_array(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
+                   WHEN 2 THEN regexp_split_to_array(t, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_split_to_array(t, '\+[0-9][\x20().0-9-]+[0-9]') END AS gaps
+            FROM (SELECT *, CASE rank WHEN 0 THEN regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') WHEN 1 THEN regexp_extract_all(t, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)')
+                  WHEN 2 THEN regexp_extract_all(t, '[0-9](?:[\x20-]?[0-9])+') ELSE regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') END AS hits FROM d, p) WHERE len(hits) > 0
+        ), m AS (
+            SELECT r, rank, kind, hits[i] AS v, gaps[i] AS g, i FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM h)
+        ), s AS (
+            SELECT r, rank, kind, v, regexp_replace(v, '[^0-9]', '', 'g') AS dg, CAST(sum(length(g) + length(v)) OVER (PARTITION BY r, rank ORDER BY i) AS BIGINT) AS stop FROM m
+        ), ok AS (
+            SELECT * FROM s WHERE CASE rank
+                WHEN 1 THEN len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INTEGER), 0) > 255)) = 0
+                WHEN 2 THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(generate_series(1, length(dg)), lambda i:
+                     CASE WHEN i % 2 = 1 THEN ascii(dg[length(dg) - i + 1]) - 48 ELSE 2 * (ascii(dg[length(dg) - i + 1]) - 48) - CASE WHEN ascii(dg[length(dg) - i + 1]) - 48 > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+                WHEN 3 THEN length(dg) BETWEEN 10 AND 15 ELSE true END
+        ), a AS (
+            SELECT r, count(*) FILTER (rank = 0) AS e, count(*) FILTER (rank = 1) AS ip, count(*) FILTER (rank = 2) AS c, count(*) FILTER (rank = 3) AS ph,
+                   string_agg(kind || ':' || (stop - length(v)) || ':' || stop, ',' ORDER BY stop - length(v), rank) AS spans FROM ok GROUP BY r
+        )
+        SELECT doc_id, CAST(coalesce(e, 0) AS BIGINT) AS n_email, CAST(coalesce(ip, 0) AS BIGINT) AS n_ip, CAST(coalesce(c, 0) AS BIGINT) AS n_card, CAST(coalesce(ph, 0) AS BIGINT) AS n_phone,
+               sha256(coalesce(spans, '')) AS base_sha256
+        FROM d LEFT JOIN a USING (r)
+    """,
     "op4_warc": """
         WITH p AS (
             SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages
