@@ -99,6 +99,27 @@ def test_edit_distance_and_signatures():
             assert bin(int(sketch[0] ^ sketch[1])).count("1") <= 4 * linedup.MAX_EDITS
 
 
+def test_long_lines(monkeypatch):
+    """A line longer than a block has the same signature, and alike ends of two lines don't count."""
+    r = random.Random(31)
+    monkeypatch.setattr(linedup, "BLOCK", 50)
+    for n in (50, 51, 99, 100, 101, 730):
+        line = "".join(r.choice("abcdé👍 ") for _ in range(n))
+        _, key, sketch = linedup.signatures([line])
+        keys, one = linedup.long_signature(line)
+        assert sorted(keys) == sorted(key) and one == sketch
+    pairs = []
+    for _ in range(400):
+        a = "".join(r.choice("ab") for _ in range(r.randint(16, 300)))
+        b = change(r, a, r.randint(0, 3))
+        if abs(len(a) - len(b)) <= 2:
+            pairs.append((a, b))
+        assert all(linedup._alike(lambda k, m=m: k <= m, 300) == m for m in (r.randint(0, 300), 300, 0))
+    assert linedup._trimmed("p" * 900 + "X" + "q" * 700, "p" * 900 + "YY" + "q" * 700) == ("p" * 8 + "X" + "q" * 8, "p" * 8 + "YY" + "q" * 8)
+    got = linedup._near([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [edits(a, b) <= min(2, min(len(a), len(b)) // 16) for a, b in pairs]
+
+
 def test_linedup(spark):
     r = random.Random(9)
     base = ["".join(r.choice("abcdefgh ") for _ in range(r.randint(1, 60))).strip() or "x" for _ in range(40)]
@@ -118,6 +139,28 @@ def test_linedup(spark):
     assert rows(linedup.dedup(table), "doc_id", "text") == sorted(want, key=repr)
 
 
+def test_linedup_hot_segments(spark):
+    """Many lines that share segments, near ones and others: the same lines go, in whatever parts they are worked."""
+    r = random.Random(21)
+    base, head = "the terms of use of this page were changed on day 000", "all rights reserved by the owner of "
+    lines = list(dict.fromkeys([change(r, base, r.randint(0, 3)) for _ in range(420)] + [head + "".join(r.choice("abcdefgh") for _ in range(12)) for _ in range(300)]))
+    assert len(lines) > linedup.HOT_LINES * 2
+    r.shuffle(lines)
+    n = len(lines)
+    pairs = [(i, j) for i in range(n) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= 2]
+    far = linedup.edit_distances([max(lines[i], lines[j], key=len) for i, j in pairs], [min(lines[j], lines[i], key=len) for i, j in pairs])
+    late = {i for (i, j), d in zip(pairs, far, strict=True) if d <= linedup.tolerance(np.array([min(len(lines[i]), len(lines[j]))]))[0]}
+    assert 200 < len(late) < n
+    docs_ = spark.createDataFrame([(k, "\n".join(lines[at:at + 7])) for k, at in enumerate(range(0, n, 7))], "doc_id long, text string")
+    kept = [x for _, t in sorted(rows(linedup.dedup(docs_), "doc_id", "text"), key=lambda x: x[0]) for x in t.split("\n") if x]
+    assert kept == [x for i, x in enumerate(lines) if i not in late]
+    # The same by small parts: every pair of parts meets once.
+    table = spark.createDataFrame([(7 * i, i % 3, x, i) for i, x in enumerate(lines)], "h1 long, h2 long, line string, place long")
+    hot = spark.createDataFrame([(seg, 7 * i) for seg in (1, 2) for i in range(n) if seg == 1 or i % 2], "seg long, id long")
+    got = {x["h1"] // 7 for x in linedup._hot_late(hot, table, held=50, earliest=3).collect()}
+    assert got == late
+
+
 def test_linedup_edges(spark):
     table = docs(spark)
     out = linedup.dedup(table)
@@ -128,6 +171,22 @@ def test_linedup_edges(spark):
     assert linedup.annotate(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["linedup", "cnn", "simhash", "decontam", "pii"])
+def test_clashing_columns_pass(spark, keep):
+    """Columns with the names that operators use, or with dots and quotes, come out as they went in."""
+    names = ["__d", "__th", "__quadrel_doc", "__QUADREL_TH", "__quadrel_score", "a.b", "c`d", "Start", "pos", "rank", "component_id", "term"]
+    quote = lambda x: "`" + x.replace("`", "``") + "`"
+    texts = ["one lone line of text", "one lone line of text", None, "", "mail a@b.de now"]
+    table = spark.createDataFrame([(i, t, *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)], ", ".join(["doc_id long", "text string", *[f"{quote(n)} string" for n in names]]))
+    bench = spark.createDataFrame([(0, "never seen words"), (1, "lone line")], "item_id long, text string")
+    net = cnn.Network(np.zeros((cnn.WIDTH, 256, cnn.FILTERS)), np.zeros(cnn.FILTERS), np.zeros(cnn.FILTERS, np.float32), 1.0)
+    out = {"linedup": lambda: linedup.dedup(table), "cnn": lambda: cnn.keep(table, net), "simhash": lambda: simhash.keep_one(table), "decontam": lambda: decontam.decontaminate(table, bench), "pii": lambda: pii.sanitise(table)}[keep]()
+    assert out.columns == table.columns
+    got = {r["doc_id"]: [r[n] for n in names] for r in out.collect()}
+    assert set(got) == {"linedup": {0, 1, 2, 3, 4}, "cnn": {0, 1, 2, 3, 4}, "simhash": {0, 2, 4}, "decontam": {2, 3, 4}, "pii": {0, 1, 2, 3, 4}}[keep]
+    assert all(v == [f"{n}{i}" for n in names] for i, v in got.items())
+
+
 # SimHash
 
 def slow_fingerprint(text):
@@ -215,6 +274,36 @@ def test_warc(spark):
     assert warc.assemble(spark, none).count() == 0
 
 
+def test_warc_members(spark, tmp_path):
+    """Archives whose records are compressed each on its own, or cut anywhere, are read whole."""
+    import gzip
+
+    def record(kind, rid, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": rid, **{k.replace("_", "-"): v for k, v in more.items()}, "Content-Length": len(block)}
+        return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + block + b"\r\n\r\n"
+
+    records, want = [], []
+    for i in range(7):
+        body = f"<p>{i}\r\n\r\nWARC/1.1 ".encode() * (1 + 9000 * (i == 3))
+        digest = hashlib.sha256(body).hexdigest()
+        records += [record("request", f"<r{i}>", b"GET / HTTP/1.1\r\n\r\n", WARC_Concurrent_To=f"<c{i}>"), record("response", f"<c{i}>", b"HTTP/1.1 200 OK\r\n\r\n" + body, WARC_Payload_Digest=f"sha256:{digest}"),
+                    record("metadata", f"<m{i}>", f'{{"page_id": {i}}}'.encode(), WARC_Concurrent_To=f"<c{i}>")]
+        want.append((i, len(body), digest, body))
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in records[:12]))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records[12:])))
+    (tmp_path / "c.warc.gz").write_bytes(b"")
+    got = [(r["page_id"], r["response"]["payload_bytes"], r["response"]["payload_digest"], bytes(r["response"]["payload"])) for r in warc.assemble(spark, f"file://{tmp_path}").collect()]
+    assert sorted(got) == want
+    whole = b"".join(records)
+    for step in (1, 7, 1000):
+        assert len(list(warc.parse(whole[k:k + step] for k in range(0, len(whole), step)))) == 21
+    for broken in (whole[:-1], whole[:-30], b"x" + whole, whole + b"WARC"):
+        with pytest.raises(ValueError):
+            list(warc.parse([broken]))
+    with pytest.raises(ValueError):
+        list(warc.inflate(gzip.compress(whole)[:-9]))
+
+
 # Decontamination
 
 def test_decontam(spark):
@@ -259,6 +348,16 @@ def test_proximity(spark):
     assert rows(got, "doc_id", "pos_a", "pos_b") == [(1, 0, 3)]
 
 
+def test_proximity_by_brute_force(spark):
+    r = random.Random(17)
+    texts = [" ".join(r.choice(["Red", "blue", "É", "a", "b"]) for _ in range(r.randint(0, 30))) for _ in range(20)] + [None]
+    want = sorted((i, a, b, p, q) for i, t in enumerate(texts) for w in [[x.lower() if x != "É" else x for x in (t or "").split()]] for a, b in (("red", "blue"), ("É", "É"))
+                  for p, x in enumerate(w) for q, y in enumerate(w) if x == a and y == b and p != q and abs(p - q) <= 4)
+    pairs = spark.createDataFrame([("red", "blue"), ("É", "É"), ("red", "blue")], "a string, b string")
+    table = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    assert rows(decontam.proximity(table, pairs, 4), "doc_id", "a", "b", "pos_a", "pos_b") == sorted(want, key=repr)
+
+
 # Classifiers
 
 def quality_rows(n, seed):
@@ -384,6 +483,23 @@ def test_crf(spark):
     assert crf.train(table.where("lang IS NULL")) is None and crf.predict(empty(spark), None).count() == 0
 
 
+def test_crf_long_texts_and_neighbours(spark, monkeypatch):
+    """A text's language and score depend neither on its neighbours nor on whether it is read in blocks."""
+    r = random.Random(12)
+    parts = {"en": ["the", "ing", "ed", "wh"], "de": ["sch", "ung", "ein", "tz"]}
+    say = lambda g, n: " ".join("".join(r.choice(parts[g]) for _ in range(r.randint(1, 3))) + r.choice(["", ",", " 7 ½"]) for _ in range(n))
+    langs = ["en", "de"] * 30
+    model = crf.fit([say(g, 30) for g in langs], langs)
+    texts = [say("en", 5), say("de", 700) + " " + say("en", 900), say("en", 129), say("de", 128), "½ 7 _", say("de", 3000)]
+    plain = crf.Scorer(model).predict(texts)
+    for t, g, x in zip(texts, *plain, strict=True):
+        assert crf.Scorer(model).predict([t])[0] == [g] and crf.Scorer(model).predict([t])[1][0] == x
+    monkeypatch.setattr(crf, "LONG", 3)
+    monkeypatch.setattr(crf, "BLOCK_WORDS", 128)
+    blocks = crf.Scorer(model).predict(texts)
+    assert blocks[0] == plain[0] and np.allclose(blocks[1], plain[1], atol=1e-8)
+
+
 def test_crf_many_languages(spark):
     """Languages beyond the 64th, the rarest too, are learned and found."""
     names = [f"l{i:02d}" for i in range(70)]
@@ -480,6 +596,123 @@ def test_pii_terms_far_from_the_entity(spark):
     assert all("zaphod" not in clean[i].lower() for i in (0, 1)) and clean[2] == fill[0].replace("a@example.org", "[EMAIL]")
 
 
+def plain_terms(texts):
+    """text -> telling terms and their shares, from sets of distinct texts; at most one address a text."""
+    distinct = sorted({t or "" for t in texts})
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    words = {t: {w.lower() for w in re.findall(r"[^\W_]{2,}", mail.sub(" ", t)) if re.search(r"[^\W\d_]", w)} for t in distinct}
+    value = {t: m[0] for t in distinct if (m := mail.search(t))}
+    nodes = {}
+    for t, v in value.items():
+        for node in ((0, v), (1, v.rpartition("@")[2].lower()), (2, "")):
+            nodes.setdefault(node, set()).add(t)
+    classes = {}
+    for (level, _), held in nodes.items():
+        if len(held) >= pii.SUPPORT:
+            classes[frozenset(held)] = classes.get(frozenset(held), False) or level == 0
+    df = {}
+    for t in distinct:
+        for w in words[t]:
+            df[w] = df.get(w, 0) + 1
+    told = {}
+    for held, exact in classes.items():
+        info = np.log2(len(distinct) / len(held))
+        for w in {w for t in held for w in words[t]}:
+            both = [t for t in held if w in words[t]]
+            if len(both) < pii.SUPPORT or info <= 0:
+                continue
+            p = len(both) / df[w]
+            if not exact:
+                cases = sum(1 / sum(value[u] == value[t] for u in held) for t in both)
+                n, z = df[w] * cases / len(both), pii.Z
+                p = (p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+            share = min(1.0, 1 + np.log2(p) / info)
+            if share >= pii.GENERALISE:
+                for t in both:
+                    told.setdefault((held, t), {})[w] = share
+    out = {}
+    for (_, t), some in told.items():
+        if len(some) <= pii.FEW or len(some) <= pii.COPIED * len(words[t]):
+            for w, share in some.items():
+                out.setdefault(t, {})[w] = max(share, out.get(t, {}).get(w, 0))
+    return out
+
+
+def test_pii_terms_by_brute_force(spark):
+    """Telling terms of values, classes and kinds, among copies and near copies."""
+    r = random.Random(14)
+    vocab = [f"{a}{b}{c}" for a in "bdgkl" for b in "aeiou" for c in ("", "mn", "7x")]
+    texts = [None, "", "a 1 22"]
+    for k in range(240):
+        ws = [r.choice(vocab) for _ in range(r.randint(3, 40))]
+        if k % 4 == 0:
+            person = r.randrange(12)
+            ws.insert(r.randrange(len(ws)), f"p{person if person < 8 else k}@host{person % 3}.org")
+            if person < 5:
+                ws += [f"name{person}", "Write", "to"]
+            elif person < 8:
+                ws += ["Host", f"street{person % 3}"]
+            else:
+                ws += ["mailto"]
+        texts.append(" ".join(ws))
+        if k % 10 == 0:
+            texts += [texts[-1]] * 3 + [texts[-1] + f" {r.choice(vocab)}"]
+    want = {(t, w): s for t, some in plain_terms(texts).items() for w, s in some.items()}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    th = {x["th"]: x["text"] for x in table.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text")).collect()}
+    got = {(th[x["th"]], x["term"]): x["share"] for x in pii._work(table)["terms"].collect()}
+    assert len(want) > 30 and any(w == "mailto" for _, w in want) and any(w.startswith("name") for _, w in want)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_pii_secrets_and_other_words(spark):
+    """Keys and passwords are spans; names of two letters, codes and words of unparted scripts can be terms."""
+    secret = ["AKIA" + "Q7" * 8, 'token = "' + "a1b2" * 8 + '"', "password: hunter2hunter2", "ghp_" + "aB3" * 13]
+    plain = ["The password is easily forgotten", "token ring", "password: forgotten", "AKIAshort", "key = value"]
+    table = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    got = {x["doc_id"]: x["n_secret"] for x in pii.report(table).collect()}
+    assert [got[i] for i in range(9)] == [1] * 4 + [0] * 5
+    clean = {x["doc_id"]: x["text"] for x in pii.sanitise(table).collect()}
+    assert clean[1] == 'token = "[SECRET]"' and clean[2] == "password: [SECRET]" and clean[4] == plain[0]
+    near = [f"{x} {c} gab 王明 an boss@firm.example" for x, c in (("Heute hat Li", "AX7"), ("Gestern kam Li", "AX7"), ("Morgen geht Li", "AX7"))]
+    fill = [f"{x} gab es an {x} viel zu tun, heute hat gestern kam morgen geht" for x in ("hier", "dort", "oben", "unten", "drinnen", "daheim", "abends", "nachts")]
+    out = {x["doc_id"]: x["spans"] for x in pii.report(spark.createDataFrame(list(enumerate(near + fill)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(near):
+        found = {t[int(a):int(b)] for k, a, b in (x.split(":") for x in out[i].split(",")) if k == "term"}
+        assert found == {"Li", "AX7", "王明"}
+
+
+def test_pii_ladder(spark):
+    """A term is replaced by a beginning that tells little, else masked; what tells most is removed."""
+    rest = [f"wort{i} und text{i}" for i in range(30)]
+    texts = [f"Sternberg {x} s@t.de" for x in rest[:9]] + ["Sternberg ohne alles"] + [f"Sternwarte Stern{i} {x}" for i, x in enumerate(rest[10:])] + [f"nur {x}" for x in rest]
+    out = {x["doc_id"]: x["text"] for x in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(out[i] == f"stern\u2026 {rest[i]} [EMAIL]" for i in range(9)) and out[9] == texts[9] and out[12] == texts[12]
+    texts = [t.replace("Sternwarte Stern", "Mond ") for t in texts]
+    out = {x["doc_id"]: x["text"] for x in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(out[i] == f"[TERM] {rest[i]} [EMAIL]" for i in range(9))
+
+
+def test_pii_long_texts_take_linear_time(spark):
+    """Many spans in one text, and cuts across blocks of text."""
+    import time
+
+    def took(n):
+        table = spark.createDataFrame([(0, " ".join(f"mail{i}@host.example 4111 1111 1111 1111" for i in range(n)))], "doc_id long, text string")
+        began = time.time()
+        assert [x["n_email"] for x in pii.base_report(pii.find(table)).collect()] == [n]
+        return time.time() - began
+
+    took(100)
+    few, many = took(2_000), took(16_000)
+    assert many < 8 * 3 * max(0.5, few)
+    r = random.Random(2)
+    texts = ["".join(r.choice(["é", "👍", "a b ", f" x{i}@y{i}.de "]) for _ in range(r.choice([3, 400, 3000]))) for i in range(12)]
+    want = [re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", t) for t in texts]
+    got = {x["doc_id"]: x["text"] for x in pii.sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(12)] == want
+
+
 # HTML
 
 @pytest.fixture(scope="module")
