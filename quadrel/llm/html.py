@@ -40,7 +40,7 @@ CELLS, STEPS, CHARS = 1 << 15, 1 << 12, 4 << 20
 PATH_BUCKETS, WORD_BUCKETS = 1 << 11, 1 << 11
 NUMBERS = 9
 #: Made-up pages for training, and passes over them.
-PAGES, EPOCHS = 3200, 10
+PAGES, EPOCHS = 2000, 10
 
 # Fixed values of HTML: elements that break text into blocks, whose content is
 # no text, that close by themselves, and that close an open element of a kind.
