@@ -12,13 +12,18 @@ from quadrel.functions.bits import MAX_COORDINATE, ceil_log2, morton
 
 @dataclass(frozen=True)
 class Meta:
-    """n and the quadrant tree's height: at least 1, leaves are 2x2 blocks."""
+    """n and the quadrant tree's height: at least 1, leaves are 2x2 blocks.
+
+    side: None, or that of the squares that each have a tree of their own, if
+    the n x n square is a grid of such; levels then count from their roots.
+    """
 
     n: int
+    side: int | None = None
 
     @property
     def height(self) -> int:
-        return max(1, ceil_log2(self.n))
+        return max(1, ceil_log2(self.side or self.n))
 
 
 @dataclass(frozen=True)
@@ -29,10 +34,10 @@ class Matrix:
     meta: Meta
 
     @staticmethod
-    def from_df(df: DataFrame, n: int | None = None, distinct: bool = True) -> Matrix:
+    def from_df(df: DataFrame, n: int | None = None, distinct: bool = True, side: int | None = None) -> Matrix:
         """Cells of df's first two columns; duplicates collapse, coordinates outside the square fail the query.
 
-        n defaults to the largest coordinate plus one (one job).  Nulls are no cells.
+        n defaults to the largest coordinate plus one (one job).  Nulls are no cells.  side: see Meta.
         """
         r, c = df.columns[:2]
         cells = df.select(F.col(r).cast("long").alias("row"), F.col(c).cast("long").alias("col")).where("row IS NOT NULL AND col IS NOT NULL")
@@ -43,7 +48,7 @@ class Matrix:
         inside = (F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < n) & (F.col("col") < n)
         bad = F.raise_error(F.concat(F.lit(f"cell outside the {n} x {n} square: "), F.concat_ws(" ", F.col("row").cast("string"), F.col("col").cast("string")))).cast("long")
         cells = cells.select(F.when(inside, F.col("row")).otherwise(bad).alias("row"), "col")
-        return Matrix(cells.distinct() if distinct else cells, Meta(n))
+        return Matrix(cells.distinct() if distinct else cells, Meta(n, side))
 
     def keyed(self) -> DataFrame:
         """(row, col, key) with the z-order key."""

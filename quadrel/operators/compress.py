@@ -95,7 +95,7 @@ def compression_stats(c: Compressed) -> DataFrame:
     return c.tree.agg(
         F.coalesce(F.sum(p.cast("long")), F.lit(0)).cast("long").alias("pointers"),
         F.count_distinct(F.when(p, F.struct("level", "rep"))).alias("targets"),
-        (F.coalesce(F.max(F.when(F.col("level") == 0, F.col("size"))), F.lit(2)) - F.coalesce(F.sum(F.when(p, F.col("size") - 4)), F.lit(0))).cast("long").alias("pruned_tree_bits"))
+        (F.coalesce(F.sum(F.when(F.col("level") == 0, F.col("size"))), F.lit(2)) - F.coalesce(F.sum(F.when(p, F.col("size") - 4)), F.lit(0))).cast("long").alias("pruned_tree_bits"))
 
 
 def compressed_info(c: Compressed) -> DataFrame:

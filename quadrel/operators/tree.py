@@ -59,7 +59,7 @@ def nodes_per_level(m: Matrix) -> DataFrame:
 def _sizes(m: Matrix) -> DataFrame:
     """One row: nodes of the parenthesis tree and leaves.
 
-    The root always stands; each node above the blocks has four children, empty
+    The root always stands (one, if the matrix is a grid of squares); each node above the blocks has four children, empty
     ones included; each block counts one more inside.
     """
     last = m.meta.height - 1
@@ -84,11 +84,11 @@ def space_report(m: Matrix) -> DataFrame:
 
 
 def info(named: dict[str, Matrix]) -> DataFrame:
-    """A row per matrix: n, height, nnz, sizes, and thousandths of bits per one and per node."""
+    """A row per matrix: n and height (of a square, if it is a grid of squares), nnz, sizes, and thousandths of bits per one and per node."""
     out = None
     for name, m in named.items():
         one = space_report(m).crossJoin(nnz(m)).select(  # one row each
-            F.lit(name).alias("name"), F.lit(m.meta.n).cast("long").alias("n"), F.lit(m.meta.height).cast("long").alias("height"), "nnz", "nodes", "tree_bits", "leaf_bits", "leaves",
+            F.lit(name).alias("name"), F.lit(m.meta.side or m.meta.n).cast("long").alias("n"), F.lit(m.meta.height).cast("long").alias("height"), "nnz", "nodes", "tree_bits", "leaf_bits", "leaves",
             F.expr("CASE WHEN nnz > 0 THEN (1000 * total_bits) div nnz END").alias("millibits_per_one"), F.expr("(1000 * total_bits) div nodes").alias("millibits_per_node"))
         out = one if out is None else out.unionByName(one)
     if out is None:

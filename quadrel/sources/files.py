@@ -31,11 +31,11 @@ def write_edges(m: Matrix, path: str) -> None:
 
 
 def _write_meta(spark: SparkSession, meta: Meta, path: str) -> None:
-    spark.range(1).select(F.lit(meta.n).cast("long").alias("n"), F.lit(meta.height).alias("height")).coalesce(1).write.json(f"{path}/meta")
+    spark.range(1).select(F.lit(meta.n).cast("long").alias("n"), F.lit(meta.height).alias("height"), F.lit(meta.side).cast("long").alias("side")).coalesce(1).write.json(f"{path}/meta")
 
 
 def _read_meta(spark: SparkSession, path: str) -> Meta:
-    return Meta(spark.read.schema("n long, height int").json(f"{path}/meta").head()["n"])
+    return Meta(*spark.read.schema("n long, side long").json(f"{path}/meta").head())
 
 
 def save(m: Matrix, path: str) -> None:
