@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from quadrel.plans import catalog
 
-BEYOND = ["node_count", "nodes_per_level", "space_report", "subtree_groups", "subtree_groups_wide", "info"]
+BEYOND = ["node_count", "nodes_per_level", "space_report", "subtree_groups", "subtree_groups_wide", "info", "info_wide"]
 
 
 @pytest.fixture(scope="module")
