@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrel.functions.bits import ceil_log2, prefix
@@ -21,6 +21,7 @@ from quadrel.operators.product import multiply
 from quadrel.operators.tree import DUMP_LEAVES, cells_of_masks, leaf_masks
 from quadrel.storage import materialise
 
+
 @dataclass(frozen=True)
 class Compressed:
     """tree: (level, key, rep, size, leaves, pruned, target_code) of the nodes not below a pointer; masks: (ordinal, mask)."""
@@ -30,63 +31,182 @@ class Compressed:
     meta: Meta
 
 
-def subtree_groups(m: Matrix) -> DataFrame:
-    """(level, key, rep, size, leaves) of every non-empty node.
+#: Levels of a square that one task holds whole.
+TIER = 9
+#: Rows of a few numbers that are broadcast.
+SMALL = 200_000
+
+
+def numbered(df: DataFrame, h: int) -> DataFrame:
+    """df with each key's place in z-order from 0 on, as ordinal: a count within its square, and one offset per square."""
+    p = prefix(F.col("key"), min(h - 1, TIER)).alias("p")
+    count = df.groupBy(p).agg(F.count(F.lit(1)).alias("n"))
+    offset = prefix_sums(count, "p", "n", "before").select("p", "before")
+    placed = df.select("*", p).repartition("p").withColumn("no", F.row_number().over(Window.partitionBy("p").orderBy("key")))  # at most 4 ** TIER blocks
+    return placed.join(offset, "p").select(*df.columns, (F.col("before") + F.col("no") - 1).alias("ordinal"))
+
+
+def _meet(a: Column, b: Column) -> Column:
+    """How many levels up two different keys of a square of TIER levels first share a node; exact, as half is no power of two."""
+    return (F.floor(F.log2(a.bitwiseXOR(b) + F.lit(0.5)) / 2) + 1).cast("int")
+
+
+def _up(key: str, d: str) -> Column:
+    return F.expr(f"shiftright({key}, cast(2 * ({d}) AS INT))")
+
+
+def _inside(key: str, d: str) -> Column:
+    """A key relative to its ancestor d levels up."""
+    return F.expr(f"{key} & (shiftleft(1L, cast(2 * ({d}) AS INT)) - 1)")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, broadcast if it has few rows; for a table of a few numbers a row that has been written."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+@dataclass(frozen=True)
+class _Shapes:
+    """d counts levels from the blocks up; t: levels of the lower part.
+
+    blocks: (key, alone): the levels up to which a block stands alone in its
+    nodes; nodes: (d, key, rep, leaves, size) of all nodes above the blocks but
+    those with one block up to t; chains: (d, in, rep) of the latter, by the
+    block's key relative to the node; groups: (alone, in, first, repeated, rep,
+    top) of blocks alone as far and alike so far: the first of them, up to where
+    it repeats others and whom there, and whom all others repeat.
+    """
+
+    blocks: DataFrame
+    nodes: DataFrame
+    chains: DataFrame
+    groups: DataFrame
+    t: int
+
+
+def _shapes(m: Matrix) -> _Shapes:
+    """All nodes with their representatives.
 
     A node's shape is the set of its blocks' keys relative to it, known by its
-    size and two xors of hashes.  rep: first key of equal shape on the level (0
-    for blocks, which are all alike); size: length of the node's parenthesis
-    string, two for itself, eight for each node above the blocks, two for each
-    block; leaves: 2x2 blocks below.  Three group-bys, whatever the height; their
-    partial step matters, since near the leaves very many nodes share few shapes.
+    number of blocks and two xors of hashes; that of a node with one block is
+    the key itself.  A task holds squares of TIER levels, so a block meets its
+    neighbours in z-order there, and only nodes with more blocks than one are
+    gathered.  Nodes above are made of the squares' shapes.
     """
     h = m.meta.height
-    blocks = m.keyed().select(prefix(F.col("key"), 1).alias("block")).distinct()
-    up = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(h - 1))).alias("d"))
-    up = up.select(F.lit(h - 1).cast("long").alias("top"), "d", F.expr("shiftright(block, 2 * d)").alias("key"), F.expr("block & (shiftleft(1L, 2 * d) - 1)").alias("in"))
-    shapes = up.groupBy((F.col("top") - F.col("d")).alias("level"), "key").agg(
-        F.bit_xor(F.xxhash64("in", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("in", F.lit(2))).alias("y"), F.count(F.lit(1)).alias("leaves"))
-    shapes = materialise(shapes, "shapes")
-    inner = shapes.where(F.col("level") <= h - 2).select("level", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("level"))).alias("d"))
-    inner = inner.groupBy((F.col("level") - F.col("d")).alias("level"), F.expr("shiftright(key, cast(2 * d AS INT))").alias("key")).agg(F.count(F.lit(1)).alias("inner"))
-    # Blocks are all alike, so only what lies above them looks for its representative.
-    above = shapes.where(F.col("level") <= h - 2)
-    reps = above.groupBy("level", "x", "y", "leaves").agg(F.min("key").alias("rep"))
-    full = above.join(reps, ["level", "x", "y", "leaves"]).join(inner, ["level", "key"])
-    size = 2 + 8 * F.col("inner") + 2 * F.col("leaves")
-    nodes = full.select("level", "key", "rep", size.cast("long").alias("size"), "leaves")
-    return nodes.unionByName(shapes.where(F.col("level") == h - 1).select("level", "key", F.lit(0).cast("long").alias("rep"), F.lit(4).cast("long").alias("size"), "leaves"))
-
-
-def _below(nodes: DataFrame, tops: DataFrame, h: int) -> DataFrame:
-    """(level, key) of those nodes that have a proper ancestor among tops."""
-    up = nodes.select("level", "key", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("d")).where("d <= level")
-    up = up.select("level", "key", (F.col("level") - F.col("d")).alias("al"), F.expr("shiftright(key, cast(2 * d AS INT))").alias("ak"))
-    marks = tops.select(F.col("level").alias("al"), F.col("key").alias("ak"))
-    return up.join(marks, ["al", "ak"], "left_semi").select("level", "key").distinct()
-
-
-def _top(nodes: DataFrame, h: int, threshold: int) -> DataFrame:
-    """Nodes above the blocks that repeat a shape longer than threshold, without such an ancestor."""
-    cand = nodes.where((F.col("level") <= h - 2) & (F.col("rep") != F.col("key")) & (F.col("size") > threshold))
-    return cand.join(_below(cand, cand, h), ["level", "key"], "left_anti")
+    t = min(h - 1, TIER)
+    cells = m.keyed().select(prefix(F.col("key"), 1).alias("key")).withColumn("p", prefix(F.col("key"), t))
+    blocks = cells.repartition("p").groupBy("p", "key").agg(F.lit(1).alias("one"))
+    near = Window.partitionBy("p").orderBy("key")  # at most 4 ** TIER blocks
+    meet = lambda other: F.coalesce(_meet(F.col("key"), other("key").over(near)), F.lit(t + 1))
+    placed = blocks.select("p", "key", meet(F.lag).alias("up"), meet(F.lead).alias("down")).select("p", "key", "up", (F.least("up", "down") - 1).alias("alone"))
+    # The block itself, and all nodes of the square that it shares.
+    each = placed.select("*", F.explode(F.expr(f"if(alone < {t}, concat(array(0), sequence(alone + 1, {t})), array(0))")).alias("d"))
+    hashed = lambda k: F.bit_xor(F.xxhash64(_inside("key", "d"), F.lit(k)))
+    # A node has as many inner nodes as its blocks are first in: the first is in d, others are first below where they meet the one ahead.
+    tier = each.groupBy("p", "d", _up("key", "d").alias("node")).agg(
+        F.count(F.lit(1)).alias("leaves"), F.sum(F.least(F.col("up") - 1, F.col("d"))).alias("inner"), hashed(1).alias("x"), hashed(2).alias("y"), F.max("alone").alias("alone"))
+    tier = materialise(tier.select("d", F.col("node").alias("key"), "leaves", "inner", "x", "y", "alone"), "tier")
+    blocks = tier.where("d = 0").select("key", "alone")
+    nodes = tier.where("d >= 1").select("d", "key", "leaves", "inner", "x", "y")
+    if h - 1 > t:
+        alone = blocks.where(F.col("alone") == t).select(F.lit(t).alias("d"), _up("key", str(t)).alias("key"), F.lit(1).cast("long").alias("leaves"), F.lit(t).cast("long").alias("inner"), _inside("key", str(t)).alias("in"))
+        roots = nodes.where(F.col("d") == t).unionByName(alone.select("d", "key", "leaves", "inner", F.xxhash64("in", F.lit(1)).alias("x"), F.xxhash64("in", F.lit(2)).alias("y")))
+        above = roots.drop("d").select("*", F.explode(F.sequence(F.lit(t + 1), F.lit(h - 1))).alias("d"))
+        mixed = lambda k: F.bit_xor(F.xxhash64(_inside("key", f"d - {t}"), "leaves", "x", "y", F.lit(k)))
+        upper = materialise(above.groupBy("d", _up("key", f"d - {t}").alias("node")).agg(
+            F.sum("leaves").alias("leaves"), F.sum("inner").alias("inner"), mixed(1).alias("x"), mixed(2).alias("y")).withColumnRenamed("node", "key"), "upper")
+        own = upper.select("key", "d", F.explode(F.sequence(F.col("d"), F.lit(h - 1))).alias("e")).groupBy(F.col("e").alias("d"), _up("key", "e - d").alias("node")).agg(F.count(F.lit(1)).alias("own"))
+        upper = upper.join(own.withColumnRenamed("node", "key"), ["d", "key"]).withColumn("inner", F.col("inner") + F.col("own"))
+        nodes = nodes.unionByName(upper.select("d", "key", "leaves", "inner", "x", "y"))
+    reps = nodes.groupBy("d", "x", "y", "leaves").agg(F.min("key").alias("rep"))
+    nodes = nodes.join(reps, ["d", "x", "y", "leaves"]).select("d", "key", "rep", "leaves", (2 + 8 * F.col("inner") + 2 * F.col("leaves")).alias("size"))
+    nodes = materialise(nodes, "nodes")
+    # Whatever repeats a shape, all below it does too: so a block that isn't the first of its group repeats it as far as it is alone.
+    groups = materialise(blocks.where("alone >= 1").groupBy("alone", _inside("key", "alone").alias("in")).agg(F.min("key").alias("first")), "groups")
+    links = groups.select("alone", "in", "first", F.explode(F.expr("sequence(1, alone)")).alias("d")).withColumn("low", _inside("in", "d"))
+    chains = materialise(links.groupBy("d", F.col("low").alias("in")).agg(F.min(_up("first", "d")).alias("rep")), "chains")
+    linked = links.join(chains.withColumnRenamed("in", "low"), ["d", "low"])
+    old = F.when(F.col("rep") != _up("first", "d"), F.col("d"))
+    groups = materialise(linked.groupBy("alone", "in", "first").agg(F.coalesce(F.max(old), F.lit(0)).alias("repeated"), F.max_by("rep", old).alias("rep"), F.max_by("rep", "d").alias("top")), "chain-groups")
+    return _Shapes(blocks, nodes, chains, groups, t)
+
+
+def subtree_groups(m: Matrix) -> DataFrame:
+    """(level, key, rep, size, leaves) of every non-empty node.
+
+    rep: first key of equal shape on the level (0 for blocks, which are all
+    alike); size: length of the node's parenthesis string, two for itself, eight
+    for each node above the blocks, two for each block; leaves: 2x2 blocks below.
+    """
+    s, h = _shapes(m), m.meta.height
+    level = (F.lit(h - 1) - F.col("d")).cast("long").alias("level")
+    one = F.lit(1).cast("long").alias("leaves")
+    links = s.blocks.where("alone >= 1").select("key", F.explode(F.expr("sequence(1, alone)")).alias("d")).select("d", _up("key", "d").alias("key"), _inside("key", "d").alias("in"))
+    alone = links.join(_small(s.chains), ["d", "in"]).select(level, "key", "rep", (4 + 8 * F.col("d")).cast("long").alias("size"), one)
+    ends = s.blocks.select(F.lit(h - 1).cast("long").alias("level"), "key", F.lit(0).cast("long").alias("rep"), F.lit(4).cast("long").alias("size"), one)
+    return s.nodes.select(level, "key", "rep", "size", "leaves").unionByName(alone).unionByName(ends)
+
+
+def _ranked(s: _Shapes, h: int) -> DataFrame:
+    """(d, key, alone, at, node, rep, size, leaves, under) of nodes, and of blocks with the nodes where they are alone.
+
+    at, node: the node itself, or the highest of a block's that repeats another
+    (its own level, if none does); rep, size and leaves are that node's; under:
+    size of the highest node above that repeats another, or null.  Rows that a
+    pointer covers whatever the threshold are left out.
+    """
+    t, repeats = s.t, F.col("rep") != F.col("key")
+    # Above the squares, the highest of all repeating ancestors; what repeats another has only such nodes below.
+    upper = s.nodes.where(F.col("d") > t)
+    again = upper.where(repeats)
+    high = again.select("d", "key", F.explode(F.sequence(F.col("d"), F.lit(h - 1))).alias("e")).select("d", "key", "e", _up("key", "e - d").alias("above"))
+    high = high.join(again.select(F.col("d").alias("e"), F.col("key").alias("above"), "size"), ["e", "above"]).groupBy("d", "key").agg(F.max_by("size", "e").alias("under"))
+    high = materialise(high.select((F.col("d") - 1).alias("d"), F.col("key").alias("parent"), "under"), "repeating")
+    upper = upper.withColumn("parent", F.shiftright("key", 2)).join(high, ["d", "parent"], "left").select("d", "key", F.lit(None).cast("int").alias("alone"), F.col("d").alias("at"), F.col("key").alias("node"), "rep", "size", "leaves", "under")
+    # In a square, nodes in z-order, larger ones first: what the furthest end so far of a repeating node lies behind is below it.
+    inner = s.nodes.where(F.col("d") <= t).select(_up("key", f"{t} - d").alias("p"), "d", "key", F.lit(None).cast("int").alias("alone"), F.col("d").alias("at"), F.col("key").alias("node"), "rep", "size", "leaves")
+    ends = s.blocks.withColumn("in", _inside("key", "alone")).join(_small(s.groups), ["alone", "in"], "left")
+    first = F.col("first") == F.col("key")
+    ends = ends.select("key", "alone", F.when(first, F.col("repeated")).otherwise(F.col("alone")).alias("at"), F.when(first, F.col("rep")).otherwise(F.col("top")).alias("rep"))
+    ends = ends.select(_up("key", str(t)).alias("p"), F.lit(0).alias("d"), "key", "alone", "at", _up("key", "at").alias("node"), F.coalesce("rep", F.lit(0)).alias("rep"), (4 + 8 * F.col("at")).cast("long").alias("size"), F.lit(1).cast("long").alias("leaves"))
+    square = inner.unionByName(ends).repartition("p").join(_small(high.where(F.col("d") == t).select(F.col("parent"), F.col("under").alias("over"))), F.shiftright("p", 2) == F.col("parent"), "left")
+    start = F.expr(f"shiftleft(key, 2 * d) - shiftleft(p, {2 * t})")
+    order = Window.partitionBy("p").orderBy((start * 16 + (15 - F.col("d"))).alias("place")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4 ** (TIER + 1) nodes
+    end = F.when(F.col("alone").isNull() & repeats, F.expr(f"shiftleft(shiftleft(key + 1, 2 * d) - shiftleft(p, {2 * t}), 40) | size"))
+    square = square.withColumn("last", F.max(end).over(order))
+    below = F.when(F.shiftright("last", 40) > start, F.expr("last & (shiftleft(1L, 40) - 1)"))
+    square = square.withColumn("under", F.coalesce("over", below)).select(*upper.columns)
+    return materialise(upper.unionByName(square).where(F.col("under").isNull() | (F.col("under") <= 4 + 64)), "ranked")
 
 
 def compress(m: Matrix) -> Compressed:
     """Share identical quadrants; a pointer must save more than it costs (threshold from the number of targets)."""
     h = m.meta.height
-    nodes = materialise(subtree_groups(m), "nodes")
-    w = _top(nodes, h, 0).select("level", "rep").distinct().count()
-    pointers = materialise(_top(nodes, h, 4 + ceil_log2(w - 1)).select("level", "key", "rep"), "pointers")
+    s = _shapes(m)
+    ranked = _ranked(s, h)
+    repeats = (F.col("at") >= 1) & (F.col("rep") != F.col("node")) & F.col("under").isNull()
+    w = ranked.where(repeats).select("at", "rep").distinct().count()
+    threshold = 4 + ceil_log2(w - 1)
+    points = repeats & (F.col("size") > threshold)
     # Targets in depth-first order get codes 0, 1, ...; one task per range, not one for all.
-    target = pointers.select("level", "rep").distinct().withColumn("__first", F.expr(f"shiftleft(rep, cast(2 * ({h} - level) AS INT)) * 64L + level"))
-    codes = ordinals(target, "__first", "target_code").select("level", "rep", "target_code")
-    alive = nodes.join(_below(nodes, pointers, h), ["level", "key"], "left_anti")
+    target = ranked.where(points).select((F.lit(h - 1) - F.col("at")).cast("long").alias("level"), "rep").distinct()
+    codes = ordinals(target.withColumn("__first", F.expr(f"shiftleft(rep, cast(2 * ({h} - level) AS INT)) * 64L + level")), "__first", "target_code").select("level", "rep", "target_code")
+    alive = ranked.where(F.col("under").isNull() | (F.col("under") <= threshold)).withColumn("pruned", points)
+    level = (F.lit(h - 1) - F.col("d")).cast("long").alias("level")
+    nodes = alive.where("alone IS NULL").select(level, "key", "rep", "size", "leaves", "pruned")
+    ends = alive.where("alone IS NOT NULL").select("key", "alone", "at", "rep", "pruned")
+    # A block's own nodes from its pointer or itself on; the representatives of those that repeat another but are too small to point are looked up.
+    of = F.expr("sequence(if(pruned, at, 0), alone)")
+    each = ends.select("key", "at", "rep", "pruned", F.explode(of).alias("d"))
+    known = F.when(F.col("d") == 0, F.lit(0).cast("long")).when(F.col("d") == F.col("at"), F.col("rep")).otherwise(_up("key", "d"))
+    chain = lambda df, rep: df.select(level, _up("key", "d").alias("key"), rep.alias("rep"), (4 + 8 * F.col("d")).cast("long").alias("size"), F.lit(1).cast("long").alias("leaves"), (F.col("pruned") & (F.col("d") == F.col("at"))).alias("pruned"))
+    low = each.where("d >= 1 AND d < at").withColumn("in", _inside("key", "d")).drop("rep").join(_small(s.chains), ["d", "in"])
+    rows = nodes.unionByName(chain(each.where("d = 0 OR d >= at"), known)).unionByName(chain(low, F.col("rep")))
     # Codes meet the pointers only, not all nodes.
-    pointed = pointers.join(codes, ["level", "rep"]).select("level", "key", "target_code", F.lit(True).alias("pruned"))
-    coded = alive.join(pointed, ["level", "key"], "left").withColumn("pruned", F.coalesce("pruned", F.lit(False)))
-    masks = ordinals(leaf_masks(m), "key").select("ordinal", "mask")
-    return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), masks, m.meta)
+    rest = rows.where(~F.col("pruned")).withColumn("target_code", F.lit(None).cast("long"))
+    coded = rows.where("pruned").join(codes, ["level", "rep"]).unionByName(rest)
+    return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), numbered(leaf_masks(m), h).select("ordinal", "mask"), m.meta)
 
 
 def compression_stats(c: Compressed) -> DataFrame:
@@ -131,6 +251,26 @@ def pointer_leaf_skips(c: Compressed) -> DataFrame:
     return prefix_sums(p, "__first", "leaf_bits", "skipped_bits", before=False).drop("__first")
 
 
+def _below(items: DataFrame, targets: DataFrame, h: int) -> DataFrame:
+    """Those items (level, key and more) that lie in some target (tl, tk), told without trying all their ancestors."""
+    t = min(h - 1, TIER)
+    d = F.lit(h - 1) - F.col("level")
+    # In a square, in z-order and larger ones first, they lie ahead of the furthest end of a target so far.
+    marks = targets.select(F.col("tl").alias("level"), F.col("tk").alias("key"), F.lit(True).alias("target"))
+    both = items.withColumn("target", F.lit(False)).unionByName(marks, allowMissingColumns=True).withColumn("d", d).where(F.col("d") <= t).withColumn("p", _up("key", f"{t} - d"))
+    order = Window.partitionBy("p").orderBy(F.expr("shiftleft(key, cast(2 * d AS INT))"), F.desc("d")).rowsBetween(Window.unboundedPreceding, -1)  # nodes of one square
+    last = F.max(F.when(F.col("target"), F.expr("shiftleft(key + 1, cast(2 * d AS INT))"))).over(order)
+    told = both.repartition("p").withColumn("last", last).where(~F.col("target")).withColumn("low", F.coalesce(F.col("last") > F.expr("shiftleft(key, cast(2 * d AS INT))"), F.lit(False)))
+    large = targets.where(F.col("tl") < h - 1 - t)
+    if large.isEmpty():
+        return told.where("low").select(*items.columns)
+    # Targets above the squares: by the squares that they hold.
+    roots = both.where(~F.col("target")).select("p").distinct().select("p", F.explode(F.sequence(F.lit(t + 1), F.lit(h - 1))).alias("e"))
+    roots = roots.select("p", (F.lit(h - 1) - F.col("e")).cast("long").alias("tl"), _up("p", f"e - {t}").alias("tk")).join(large, ["tl", "tk"], "left_semi").select("p").distinct().withColumn("held", F.lit(True))
+    upper = items.where(d > t)
+    return told.join(roots, "p", "left").where("low OR held").select(*items.columns).unionByName(upper)
+
+
 def decoded_masks(c: Compressed) -> DataFrame:
     """(key, mask) of all blocks: leaves of the pruned tree, and those that pointers stand for.
 
@@ -143,9 +283,9 @@ def decoded_masks(c: Compressed) -> DataFrame:
     items = tree.where(F.col("pruned") | (F.col("level") == h - 1))
     found = [items.where(~F.col("pruned")).select("key")]
     open_ = items.where("pruned").select(F.col("level").alias("tl"), F.col("rep").alias("tk"), "key")
-    targets = open_.select("tl", "tk").distinct()
-    up = items.select("*", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("d")).where("d <= level")
-    up = up.select((F.col("level") - F.col("d")).alias("tl"), F.expr("shiftright(key, cast(2 * d AS INT))").alias("tk"), "level", F.col("key").alias("item"), "rep", "pruned")
+    targets = materialise(open_.select("tl", "tk").distinct(), "targets")
+    up = _below(items, targets, h).select("*", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("d")).where("d <= level")
+    up = up.select((F.col("level") - F.col("d")).alias("tl"), _up("key", "d").alias("tk"), "level", F.col("key").alias("item"), "rep", "pruned")
     below = materialise(up.join(targets, ["tl", "tk"], "left_semi"), "below-targets")
     for _ in range(h):
         moved = F.expr("shiftleft(key, cast(2 * (level - tl) AS INT)) | (item & (shiftleft(1L, cast(2 * (level - tl) AS INT)) - 1))")
@@ -155,7 +295,7 @@ def decoded_masks(c: Compressed) -> DataFrame:
         if open_.isEmpty():
             break
     keys = reduce(DataFrame.unionByName, found)
-    return ordinals(keys, "key").join(c.masks, "ordinal").select("key", "mask")
+    return numbered(keys, h).join(c.masks, "ordinal").select("key", "mask")
 
 
 def decode_compressed(c: Compressed) -> DataFrame:
