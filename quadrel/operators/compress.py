@@ -8,8 +8,9 @@ than a pointer costs; only topology is shared, all leaf masks stay, in z-order.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,12 +25,16 @@ from quadrel.storage import materialise
 
 @dataclass(frozen=True)
 class Compressed:
-    """tree: (level, key, rep, size, leaves, pruned, target_code) of the nodes not below a pointer; masks: (ordinal, mask)."""
+    """tree: (level, key, rep, size, leaves, pruned, target_code) of the nodes not below a pointer; masks: (ordinal, mask), made when asked for."""
 
     tree: DataFrame
-    masks: DataFrame
+    ends: Callable[[], DataFrame]
     meta: Meta
 
+    @cached_property
+    def masks(self) -> DataFrame:
+        return self.ends()
+
 
 #: Levels of a square that one task holds whole.
 TIER = 9
@@ -206,7 +211,7 @@ def compress(m: Matrix) -> Compressed:
     # Codes meet the pointers only, not all nodes.
     rest = rows.where(~F.col("pruned")).withColumn("target_code", F.lit(None).cast("long"))
     coded = rows.where("pruned").join(codes, ["level", "rep"]).unionByName(rest)
-    return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), numbered(leaf_masks(m), h).select("ordinal", "mask"), m.meta)
+    return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), lambda: numbered(leaf_masks(m), h).select("ordinal", "mask"), m.meta)
 
 
 def compression_stats(c: Compressed) -> DataFrame:

@@ -62,4 +62,4 @@ def save_compressed(c: Compressed, path: str) -> None:
 
 def load_compressed(spark: SparkSession, path: str) -> Compressed:
     tree = spark.read.schema("key long, rep long, size long, leaves long, pruned boolean, target_code long, level long").parquet(f"{path}/tree")
-    return Compressed(tree.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), spark.read.parquet(f"{path}/masks"), _read_meta(spark, path))
+    return Compressed(tree.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), lambda: spark.read.parquet(f"{path}/masks"), _read_meta(spark, path))

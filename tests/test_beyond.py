@@ -37,3 +37,32 @@ def test_beyond_one_square(spark, far, name):
     got = sorted(map(repr, (tuple(r) for r in df.select(*cols).collect())))
     want = sorted(map(repr, db.execute(f"SELECT {', '.join(cols)} FROM ({entry.oracle_sql()[name]})").fetchall()))
     assert got == want
+
+
+#: compress_wide and what is made of it; the SQL of the statistics holds for one square only.
+COMPRESSED = ["compress_wide", "pointer_leaf_skips_wide", "decode_compressed_wide", "save_load_compressed_wide", "boolean_or_compressed_wide", "multiply_compressed_wide"]
+
+
+@pytest.mark.parametrize("name", COMPRESSED)
+def test_compressed_beyond_one_square(spark, far, name):
+    test_beyond_one_square(spark, far, name)
+
+
+def test_lone_blocks_are_written_once(spark, monkeypatch):
+    """Compression writes few rows for each block, not one for each node above it."""
+    from quadrel.matrix import Matrix
+    from quadrel.operators import compress, ordering
+
+    tags = {}
+
+    def counted(df, tag, *rest, write=compress.materialise, **more):
+        out = write(df, tag, *rest, **more)
+        tags[tag] = tags.get(tag, 0) + out.count()
+        return out
+
+    for module in (compress, ordering):
+        monkeypatch.setattr(module, "materialise", counted)
+    cells = [(128 * i, 128 * j) for i in range(16) for j in range(16)]
+    c = compress.compress(Matrix.from_df(spark.createDataFrame(cells, "row long, col long"), catalog.SPACE))
+    assert compress.compression_stats(c).head()["pointers"] > 0
+    assert sum(tags.values()) < 5 * len(cells), tags
