@@ -101,10 +101,11 @@ def _shapes(m: Matrix) -> _Shapes:
     h = m.meta.height
     t = min(h - 1, TIER)
     cells = m.keyed().select(prefix(F.col("key"), 1).alias("key")).withColumn("p", prefix(F.col("key"), t))
-    blocks = cells.repartition("p").groupBy("p", "key").agg(F.lit(1).alias("one"))
-    near = Window.partitionBy("p").orderBy("key")  # at most 4 ** TIER blocks
-    meet = lambda other: F.coalesce(_meet(F.col("key"), other("key").over(near)), F.lit(t + 1))
-    placed = blocks.select("p", "key", meet(F.lag).alias("up"), meet(F.lead).alias("down")).select("p", "key", "up", (F.least("up", "down") - 1).alias("alone"))
+    near = Window.partitionBy("p").orderBy("key")  # at most 4 ** (TIER + 1) cells
+    # The first cell of each block; the cell ahead is of the block ahead.
+    blocks = cells.repartition("p").withColumn("ahead", F.lag("key").over(near)).where("ahead IS NULL OR ahead <> key")
+    meet = lambda other: F.coalesce(_meet(F.col("key"), other), F.lit(t + 1))
+    placed = blocks.select("p", "key", meet(F.col("ahead")).alias("up"), meet(F.lead("key").over(near)).alias("down")).select("p", "key", "up", (F.least("up", "down") - 1).alias("alone"))
     # The block itself, and all nodes of the square that it shares.
     each = placed.select("*", F.explode(F.expr(f"if(alone < {t}, concat(array(0), sequence(alone + 1, {t})), array(0))")).alias("d"))
     hashed = lambda k: F.bit_xor(F.xxhash64(_inside("key", "d"), F.lit(k)))

@@ -223,3 +223,20 @@ def test_random_matrices_by_the_first_draws(spark):
     assert generate._cut(drawn, 9000, 1234) == 3 * 1233 + 1
     many = [len(ones(generate.random_matrix(spark, 200, 0.03, seed, mode="bernoulli").cells)) for seed in range(4)]
     assert len(set(many)) > 1 and all(abs(x - 1200) < 6 * (1200 * 0.97) ** 0.5 for x in many)
+
+
+def test_key_code_is_small_enough_to_compile(spark):
+    """The JVM only interprets methods beyond 8,000 bytes; the leaf masks' code had 16,858."""
+    import contextlib
+    import io
+    import re
+
+    m = Matrix.from_df(spark.createDataFrame([(0, 0), (1, 5), (700, 9)], "row long, col long"), 1 << 18)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            comp.numbered(tree.leaf_masks(m), 18).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue()))) < 8000
