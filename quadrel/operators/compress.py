@@ -19,18 +19,28 @@ from quadrel.functions.bits import ceil_log2, prefix
 from quadrel.matrix import Matrix, Meta
 from quadrel.operators.ordering import ordinals, prefix_sums
 from quadrel.operators.product import multiply
-from quadrel.operators.tree import DUMP_LEAVES, cells_of_masks, leaf_masks
+from quadrel.operators.tree import DUMP_LEAVES, cells_of_masks
 from quadrel.storage import materialise
 
 
 @dataclass(frozen=True)
 class Compressed:
-    """tree: (level, key, rep, size, leaves, pruned, target_code) of the nodes not below a pointer; masks: (ordinal, mask), made when asked for."""
+    """nodes: (level, key, rep, size, leaves, pruned) of the nodes not below a pointer.
 
-    tree: DataFrame
+    Made when asked for: tree, the nodes with the pointers' target_code, and
+    masks: (ordinal, masks), the leaves of each square in z-order, and how many
+    are ahead of them.
+    """
+
+    nodes: DataFrame
+    coded: Callable[[], DataFrame]
     ends: Callable[[], DataFrame]
     meta: Meta
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        return self.coded()
+
     @cached_property
     def masks(self) -> DataFrame:
         return self.ends()
@@ -51,6 +61,22 @@ def numbered(df: DataFrame, h: int) -> DataFrame:
     return placed.join(offset, "p").select(*df.columns, (F.col("before") + F.col("no") - 1).alias("ordinal"))
 
 
+def _in_squares(df: DataFrame, h: int, value: Column) -> DataFrame:
+    """(p, ordinal, v): each square's values (int) of df's keys, sorted, and how many are ahead of them in z-order."""
+    t = str(min(h - 1, TIER))
+    each = df.select(_up("key", t).alias("p"), value.alias("v")).repartition("p").groupBy("p").agg(F.sort_array(F.collect_list("v")).alias("v"))  # at most 4 ** TIER blocks
+    each = materialise(each.select("p", F.size("v").cast("long").alias("n"), "v"), "squares")
+    offset = prefix_sums(each.select("p", "n"), "p", "n", "ordinal").select("p", "ordinal")
+    return each.join(offset, "p").select("p", "ordinal", "v")
+
+
+def _masks_in_squares(blocks: DataFrame, h: int) -> DataFrame:
+    """(ordinal, masks) of (key, mask) blocks."""
+    rel = _inside("key", str(min(h - 1, TIER))).cast("int")
+    placed = _in_squares(blocks, h, F.shiftleft(rel, 4).bitwiseOR(F.col("mask").cast("int")))
+    return placed.select("ordinal", F.transform("v", lambda x: x.bitwiseAND(F.lit(15)).cast("tinyint")).alias("masks"))
+
+
 def _meet(a: Column, b: Column) -> Column:
     """How many levels up two different keys of a square of TIER levels first share a node; exact, as half is no power of two."""
     return (F.floor(F.log2(a.bitwiseXOR(b) + F.lit(0.5)) / 2) + 1).cast("int")
@@ -74,7 +100,7 @@ def _small(df: DataFrame) -> DataFrame:
 class _Shapes:
     """d counts levels from the blocks up; t: levels of the lower part.
 
-    blocks: (key, alone): the levels up to which a block stands alone in its
+    blocks: (key, alone, mask): the levels up to which a block stands alone in its
     nodes; nodes: (d, key, rep, leaves, size) of all nodes above the blocks but
     those with one block up to t; chains: (d, in, rep) of the latter, by the
     block's key relative to the node; groups: (alone, in, first, repeated, rep,
@@ -96,24 +122,25 @@ def _shapes(m: Matrix) -> _Shapes:
     number of blocks and two xors of hashes; that of a node with one block is
     the key itself.  A task holds squares of TIER levels, so a block meets its
     neighbours in z-order there, and only nodes with more blocks than one are
-    gathered.  Nodes above are made of the squares' shapes.
+    gathered.  Nodes above are made of the squares' shapes.  The cells are read
+    once, and may repeat.
     """
     h = m.meta.height
     t = min(h - 1, TIER)
-    cells = m.keyed().select(prefix(F.col("key"), 1).alias("key")).withColumn("p", prefix(F.col("key"), t))
-    near = Window.partitionBy("p").orderBy("key")  # at most 4 ** (TIER + 1) cells
-    # The first cell of each block; the cell ahead is of the block ahead.
-    blocks = cells.repartition("p").withColumn("ahead", F.lag("key").over(near)).where("ahead IS NULL OR ahead <> key")
+    cells = m.keyed().select("key", prefix(F.col("key"), t + 1).alias("p")).repartition("p").select("p", prefix(F.col("key"), 1).alias("key"), F.expr("shiftleft(1, cast(key & 3 AS INT))").alias("bit"))
+    near = Window.partitionBy("p").orderBy("key")  # at most 4 ** (TIER + 1) different cells
+    # The first cell of each block, with the bits of all of them; the cell ahead is of the block ahead.
+    blocks = cells.select("p", "key", F.lag("key").over(near).alias("ahead"), F.bit_or("bit").over(near.rangeBetween(Window.currentRow, Window.currentRow)).alias("mask")).where("ahead IS NULL OR ahead <> key")
     meet = lambda other: F.coalesce(_meet(F.col("key"), other), F.lit(t + 1))
-    placed = blocks.select("p", "key", meet(F.col("ahead")).alias("up"), meet(F.lead("key").over(near)).alias("down")).select("p", "key", "up", (F.least("up", "down") - 1).alias("alone"))
+    placed = blocks.select("p", "key", "mask", meet(F.col("ahead")).alias("up"), meet(F.lead("key").over(near)).alias("down")).select("p", "key", "mask", "up", (F.least("up", "down") - 1).alias("alone"))
     # The block itself, and all nodes of the square that it shares.
     each = placed.select("*", F.explode(F.expr(f"if(alone < {t}, concat(array(0), sequence(alone + 1, {t})), array(0))")).alias("d"))
     hashed = lambda k: F.bit_xor(F.xxhash64(_inside("key", "d"), F.lit(k)))
     # A node has as many inner nodes as its blocks are first in: the first is in d, others are first below where they meet the one ahead.
     tier = each.groupBy("p", "d", _up("key", "d").alias("node")).agg(
-        F.count(F.lit(1)).alias("leaves"), F.sum(F.least(F.col("up") - 1, F.col("d"))).alias("inner"), hashed(1).alias("x"), hashed(2).alias("y"), F.max("alone").alias("alone"))
-    tier = materialise(tier.select("d", F.col("node").alias("key"), "leaves", "inner", "x", "y", "alone"), "tier")
-    blocks = tier.where("d = 0").select("key", "alone")
+        F.count(F.lit(1)).alias("leaves"), F.sum(F.least(F.col("up") - 1, F.col("d"))).alias("inner"), hashed(1).alias("x"), hashed(2).alias("y"), F.max("alone").alias("alone"), F.max("mask").alias("mask"))
+    tier = materialise(tier.select("d", F.col("node").alias("key"), "leaves", "inner", "x", "y", "alone", F.col("mask").cast("tinyint").alias("mask")), "tier")
+    blocks = tier.where("d = 0").select("key", "alone", "mask")
     nodes = tier.where("d >= 1").select("d", "key", "leaves", "inner", "x", "y")
     if h - 1 > t:
         alone = blocks.where(F.col("alone") == t).select(F.lit(t).alias("d"), _up("key", str(t)).alias("key"), F.lit(1).cast("long").alias("leaves"), F.lit(t).cast("long").alias("inner"), _inside("key", str(t)).alias("in"))
@@ -195,9 +222,6 @@ def compress(m: Matrix) -> Compressed:
     w = ranked.where(repeats).select("at", "rep").distinct().count()
     threshold = 4 + ceil_log2(w - 1)
     points = repeats & (F.col("size") > threshold)
-    # Targets in depth-first order get codes 0, 1, ...; one task per range, not one for all.
-    target = ranked.where(points).select((F.lit(h - 1) - F.col("at")).cast("long").alias("level"), "rep").distinct()
-    codes = ordinals(target.withColumn("__first", F.expr(f"shiftleft(rep, cast(2 * ({h} - level) AS INT)) * 64L + level")), "__first", "target_code").select("level", "rep", "target_code")
     alive = ranked.where(F.col("under").isNull() | (F.col("under") <= threshold)).withColumn("pruned", points)
     level = (F.lit(h - 1) - F.col("d")).cast("long").alias("level")
     nodes = alive.where("alone IS NULL").select(level, "key", "rep", "size", "leaves", "pruned")
@@ -209,16 +233,22 @@ def compress(m: Matrix) -> Compressed:
     chain = lambda df, rep: df.select(level, _up("key", "d").alias("key"), rep.alias("rep"), (4 + 8 * F.col("d")).cast("long").alias("size"), F.lit(1).cast("long").alias("leaves"), (F.col("pruned") & (F.col("d") == F.col("at"))).alias("pruned"))
     low = each.where("d >= 1 AND d < at").withColumn("in", _inside("key", "d")).drop("rep").join(_small(s.chains), ["d", "in"])
     rows = nodes.unionByName(chain(each.where("d = 0 OR d >= at"), known)).unionByName(chain(low, F.col("rep")))
-    # Codes meet the pointers only, not all nodes.
-    rest = rows.where(~F.col("pruned")).withColumn("target_code", F.lit(None).cast("long"))
-    coded = rows.where("pruned").join(codes, ["level", "rep"]).unionByName(rest)
-    return Compressed(coded.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), lambda: numbered(leaf_masks(m), h).select("ordinal", "mask"), m.meta)
+
+    def coded() -> DataFrame:
+        # Targets in depth-first order get codes 0, 1, ...; one task per range, not one for all.
+        target = ranked.where(points).select((F.lit(h - 1) - F.col("at")).cast("long").alias("level"), "rep").distinct()
+        codes = ordinals(target.withColumn("__first", F.expr(f"shiftleft(rep, cast(2 * ({h} - level) AS INT)) * 64L + level")), "__first", "target_code").select("level", "rep", "target_code")
+        # Codes meet the pointers only, not all nodes.
+        rest = rows.where(~F.col("pruned")).withColumn("target_code", F.lit(None).cast("long"))
+        return rows.where("pruned").join(codes, ["level", "rep"]).unionByName(rest).select("level", "key", "rep", "size", "leaves", "pruned", "target_code")
+
+    return Compressed(rows, coded, lambda: _masks_in_squares(s.blocks.select("key", "mask"), h), m.meta)
 
 
 def compression_stats(c: Compressed) -> DataFrame:
     """One row: pointers, targets, pruned_tree_bits."""
     p = F.col("pruned")
-    return c.tree.agg(
+    return c.nodes.where(p | (F.col("level") == 0)).agg(
         F.coalesce(F.sum(p.cast("long")), F.lit(0)).cast("long").alias("pointers"),
         F.count_distinct(F.when(p, F.struct("level", "rep"))).alias("targets"),
         (F.coalesce(F.sum(F.when(F.col("level") == 0, F.col("size"))), F.lit(2)) - F.coalesce(F.sum(F.when(p, F.col("size") - 4)), F.lit(0))).cast("long").alias("pruned_tree_bits"))
@@ -226,7 +256,7 @@ def compression_stats(c: Compressed) -> DataFrame:
 
 def compressed_info(c: Compressed) -> DataFrame:
     """One row: nnz, and the raw bit counts of the pruned tree, the leaves and the pointers."""
-    ones = c.masks.agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("nnz"), F.count(F.lit(1)).alias("leaves"))
+    ones = c.masks.select(F.explode("masks").alias("mask")).agg(F.coalesce(F.sum(F.bit_count("mask")), F.lit(0)).cast("long").alias("nnz"), F.count(F.lit(1)).alias("leaves"))
     both = compression_stats(c).crossJoin(ones)  # one row each
     return both.select("nnz", F.expr("pruned_tree_bits div 2").alias("nodes"), F.col("pruned_tree_bits").alias("tree_bits"), "leaves", (4 * F.col("leaves")).alias("leaf_bits"), "pointers", "targets")
 
@@ -253,7 +283,7 @@ def dump_compressed(c: Compressed) -> dict[str, str]:
 def pointer_leaf_skips(c: Compressed) -> DataFrame:
     """(level, key, leaf_bits, skipped_bits): leaf bits below each pointer, and below it and all earlier pointers."""
     h = c.meta.height
-    p = c.tree.where("pruned").select("level", "key", (4 * F.col("leaves")).alias("leaf_bits"), F.expr(f"shiftleft(key, cast(2 * ({h} - level) AS INT))").alias("__first"))
+    p = c.nodes.where("pruned").select("level", "key", (4 * F.col("leaves")).alias("leaf_bits"), F.expr(f"shiftleft(key, cast(2 * ({h} - level) AS INT))").alias("__first"))
     return prefix_sums(p, "__first", "leaf_bits", "skipped_bits", before=False).drop("__first")
 
 
@@ -280,28 +310,35 @@ def _below(items: DataFrame, targets: DataFrame, h: int) -> DataFrame:
 def decoded_masks(c: Compressed) -> DataFrame:
     """(key, mask) of all blocks: leaves of the pruned tree, and those that pointers stand for.
 
-    A round copies what lies below the targets (leaves and further pointers) to
-    the pointers found so far; there are as many rounds as pointers nest.  Leaf
-    masks then follow in z-order.
+    What lies below the targets (leaves and further pointers) is completed
+    first, in as many rounds as pointers nest; then each pointer gets its
+    target's leaves at once.  Leaf masks follow in z-order, square by square.
     """
     h = c.meta.height
-    tree = materialise(c.tree.select("level", "key", "rep", "pruned"), "pruned-tree")
-    items = tree.where(F.col("pruned") | (F.col("level") == h - 1))
-    found = [items.where(~F.col("pruned")).select("key")]
-    open_ = items.where("pruned").select(F.col("level").alias("tl"), F.col("rep").alias("tk"), "key")
-    targets = materialise(open_.select("tl", "tk").distinct(), "targets")
+    items = c.nodes.where(F.col("pruned") | (F.col("level") == h - 1)).select("level", "key", "rep", "pruned")
+    items = materialise(items, "pruned-tree")
+    pointers = items.where("pruned").select(F.col("level").alias("tl"), F.col("rep").alias("tk"), "key")
+    targets = materialise(pointers.select("tl", "tk").distinct(), "targets")
     up = _below(items, targets, h).select("*", F.explode(F.sequence(F.lit(1), F.lit(h))).alias("d")).where("d <= level")
     up = up.select((F.col("level") - F.col("d")).alias("tl"), _up("key", "d").alias("tk"), "level", F.col("key").alias("item"), "rep", "pruned")
     below = materialise(up.join(targets, ["tl", "tk"], "left_semi"), "below-targets")
+    leaves = [below.where(~F.col("pruned")).select("tl", "tk", "item")]
+    inner, of = below.where("pruned"), below.select(F.col("tl").alias("level"), F.col("tk").alias("rep"), F.col("level").alias("l"), F.col("item").alias("i"), F.col("rep").alias("r"), F.col("pruned").alias("more"))
     for _ in range(h):
-        moved = F.expr("shiftleft(key, cast(2 * (level - tl) AS INT)) | (item & (shiftleft(1L, cast(2 * (level - tl) AS INT)) - 1))")
-        got = materialise(open_.join(below, ["tl", "tk"]).select("level", moved.alias("key"), "rep", "pruned"), "copied")
-        found.append(got.where(~F.col("pruned")).select("key"))
-        open_ = got.where("pruned").select(F.col("level").alias("tl"), F.col("rep").alias("tk"), "key")
-        if open_.isEmpty():
+        if inner.isEmpty():
             break
-    keys = reduce(DataFrame.unionByName, found)
-    return numbered(keys, h).join(c.masks, "ordinal").select("key", "mask")
+        moved = F.expr("shiftleft(item, cast(2 * (l - level) AS INT)) | (i & (shiftleft(1L, cast(2 * (l - level) AS INT)) - 1))")
+        got = inner.select("tl", "tk", "level", "item", "rep").join(of, ["level", "rep"])
+        got = materialise(got.select("tl", "tk", F.col("l").alias("level"), moved.alias("item"), F.col("r").alias("rep"), F.col("more").alias("pruned")), "completed")
+        leaves.append(got.where(~F.col("pruned")).select("tl", "tk", "item"))
+        inner = got.where("pruned")
+    ends = _small(reduce(DataFrame.unionByName, leaves))
+    moved = F.expr(f"shiftleft(key, cast(2 * ({h - 1} - tl) AS INT)) | (item & (shiftleft(1L, cast(2 * ({h - 1} - tl) AS INT)) - 1))")
+    keys = items.where(~F.col("pruned")).select("key").unionByName(pointers.join(ends, ["tl", "tk"]).select(moved.alias("key")))
+    t = min(h - 1, TIER)
+    squares = _in_squares(keys, h, _inside("key", str(t)).cast("int"))
+    zipped = squares.join(c.masks, "ordinal").select("p", F.inline(F.arrays_zip(F.col("v"), F.col("masks").alias("mask"))))
+    return zipped.select(F.shiftleft("p", 2 * t).bitwiseOR(F.col("v").cast("long")).alias("key"), F.col("mask").cast("long").alias("mask"))
 
 
 def decode_compressed(c: Compressed) -> DataFrame:

@@ -54,12 +54,13 @@ def load_keyed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_compressed(c: Compressed, path: str) -> None:
-    """Node table by level, leaf masks by ordinal, metadata."""
+    """Node table by level, leaf masks by square, metadata."""
     c.tree.repartitionByRange("level", "key").write.partitionBy("level").parquet(f"{path}/tree")
     c.masks.write.parquet(f"{path}/masks")
-    _write_meta(c.tree.sparkSession, c.meta, path)
+    _write_meta(c.nodes.sparkSession, c.meta, path)
 
 
 def load_compressed(spark: SparkSession, path: str) -> Compressed:
     tree = spark.read.schema("key long, rep long, size long, leaves long, pruned boolean, target_code long, level long").parquet(f"{path}/tree")
-    return Compressed(tree.select("level", "key", "rep", "size", "leaves", "pruned", "target_code"), lambda: spark.read.parquet(f"{path}/masks"), _read_meta(spark, path))
+    nodes = tree.select("level", "key", "rep", "size", "leaves", "pruned")
+    return Compressed(nodes, lambda: tree.select(*nodes.columns, "target_code"), lambda: spark.read.parquet(f"{path}/masks"), _read_meta(spark, path))

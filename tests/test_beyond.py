@@ -66,3 +66,14 @@ def test_lone_blocks_are_written_once(spark, monkeypatch):
     c = compress.compress(Matrix.from_df(spark.createDataFrame(cells, "row long, col long"), catalog.SPACE))
     assert compress.compression_stats(c).head()["pointers"] > 0
     assert sum(tags.values()) < 5 * len(cells), tags
+
+
+def test_compressed_queries_go_by_squares(spark, far, monkeypatch):
+    """Decoding reads the table once, without writing its cells first, and leaf masks are one row for each square."""
+    path, db = far
+    monkeypatch.setattr(catalog, "materialise", None)
+    test_beyond_one_square(spark, far, "decode_compressed_wide")
+    squares, cells = db.execute("SELECT count(DISTINCT (l_orderkey // 1024, l_partkey // 1024)), count(DISTINCT (l_orderkey, l_partkey)) FROM lineitem").fetchone()
+    masks = catalog._compressed(spark, path, "op").masks
+    assert masks.count() == squares < cells
+    assert masks.selectExpr("explode(masks) AS m").selectExpr("sum(bit_count(m))").head()[0] == cells
