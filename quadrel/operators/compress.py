@@ -152,8 +152,11 @@ def _shapes(m: Matrix) -> _Shapes:
         own = upper.select("key", "d", F.explode(F.sequence(F.col("d"), F.lit(h - 1))).alias("e")).groupBy(F.col("e").alias("d"), _up("key", "e - d").alias("node")).agg(F.count(F.lit(1)).alias("own"))
         upper = upper.join(own.withColumnRenamed("node", "key"), ["d", "key"]).withColumn("inner", F.col("inner") + F.col("own"))
         nodes = nodes.unionByName(upper.select("d", "key", "leaves", "inner", "x", "y"))
-    reps = nodes.groupBy("d", "x", "y", "leaves").agg(F.min("key").alias("rep"))
-    nodes = nodes.join(reps, ["d", "x", "y", "leaves"]).select("d", "key", "rep", "leaves", (2 + 8 * F.col("inner") + 2 * F.col("leaves")).alias("size"))
+    # Only shapes that are found again are looked up, by two numbers; most others have no second node.
+    nodes = nodes.select("d", "key", "leaves", "inner", F.xxhash64("x", "d", "leaves").alias("x"), "y")
+    reps = materialise(nodes.groupBy("x", "y").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("x", "y", "rep"), "repeated")
+    size = (2 + 8 * F.col("inner") + 2 * F.col("leaves")).alias("size")
+    nodes = nodes.select("d", "key", "leaves", size, "x", "y").join(reps, ["x", "y"], "left").select("d", "key", F.coalesce("rep", "key").alias("rep"), "leaves", "size")
     nodes = materialise(nodes, "nodes")
     # Whatever repeats a shape, all below it does too: so a block that isn't the first of its group repeats it as far as it is alone.
     groups = materialise(blocks.where("alone >= 1").groupBy("alone", _inside("key", "alone").alias("in")).agg(F.min("key").alias("first")), "groups")
@@ -198,18 +201,22 @@ def _ranked(s: _Shapes, h: int) -> DataFrame:
     high = materialise(high.select((F.col("d") - 1).alias("d"), F.col("key").alias("parent"), "under"), "repeating")
     upper = upper.withColumn("parent", F.shiftright("key", 2)).join(high, ["d", "parent"], "left").select("d", "key", F.lit(None).cast("int").alias("alone"), F.col("d").alias("at"), F.col("key").alias("node"), "rep", "size", "leaves", "under")
     # In a square, nodes in z-order, larger ones first: what the furthest end so far of a repeating node lies behind is below it.
-    inner = s.nodes.where(F.col("d") <= t).select(_up("key", f"{t} - d").alias("p"), "d", "key", F.lit(None).cast("int").alias("alone"), F.col("d").alias("at"), F.col("key").alias("node"), "rep", "size", "leaves")
+    # What a block or a node's kind tells goes into one number, and is told apart again when the square is done.
+    inner = s.nodes.where(F.col("d") <= t).select(_up("key", f"{t} - d").alias("p"), "key", F.col("d").cast("int").alias("kind"), "rep", "size", "leaves")
     ends = s.blocks.withColumn("in", _inside("key", "alone")).join(_small(s.groups), ["alone", "in"], "left")
     first = F.col("first") == F.col("key")
     ends = ends.select("key", "alone", F.when(first, F.col("repeated")).otherwise(F.col("alone")).alias("at"), F.when(first, F.col("rep")).otherwise(F.col("top")).alias("rep"))
-    ends = ends.select(_up("key", str(t)).alias("p"), F.lit(0).alias("d"), "key", "alone", "at", _up("key", "at").alias("node"), F.coalesce("rep", F.lit(0)).alias("rep"), (4 + 8 * F.col("at")).cast("long").alias("size"), F.lit(1).cast("long").alias("leaves"))
+    none = F.lit(None).cast("long")
+    ends = ends.select(_up("key", str(t)).alias("p"), "key", F.expr("cast(shiftleft(alone, 5) | shiftleft(at, 10) AS INT)").alias("kind"), F.coalesce("rep", F.lit(0)).alias("rep"), none.alias("size"), none.alias("leaves"))
     square = inner.unionByName(ends).repartition("p").join(_small(high.where(F.col("d") == t).select(F.col("parent"), F.col("under").alias("over"))), F.shiftright("p", 2) == F.col("parent"), "left")
-    start = F.expr(f"shiftleft(key, 2 * d) - shiftleft(p, {2 * t})")
-    order = Window.partitionBy("p").orderBy((start * 16 + (15 - F.col("d"))).alias("place")).rowsBetween(Window.unboundedPreceding, -1)  # at most 4 ** (TIER + 1) nodes
-    end = F.when(F.col("alone").isNull() & repeats, F.expr(f"shiftleft(shiftleft(key + 1, 2 * d) - shiftleft(p, {2 * t}), 40) | size"))
+    d = "(kind & 31)"
+    start = F.expr(f"shiftleft(key, 2 * {d}) - shiftleft(p, {2 * t})")
+    order = Window.partitionBy("p").orderBy(start * 16 + (15 - F.expr(d))).rowsBetween(Window.unboundedPreceding, -1)  # at most 4 ** (TIER + 1) nodes
+    end = F.when(F.expr(f"{d} > 0") & repeats, F.expr(f"shiftleft(shiftleft(key + 1, 2 * {d}) - shiftleft(p, {2 * t}), 40) | size"))
     square = square.withColumn("last", F.max(end).over(order))
     below = F.when(F.shiftright("last", 40) > start, F.expr("last & (shiftleft(1L, 40) - 1)"))
-    square = square.withColumn("under", F.coalesce("over", below)).select(*upper.columns)
+    square = square.select(F.expr(d).alias("d"), "key", F.expr(f"if({d} = 0, shiftright(kind, 5) & 31, NULL)").alias("alone"), F.expr(f"if({d} = 0, shiftright(kind, 10), {d})").alias("at"), "rep", "size", "leaves", F.coalesce("over", below).alias("under"))
+    square = square.select("d", "key", "alone", "at", _up("key", "if(d = 0, at, 0)").alias("node"), "rep", F.coalesce("size", (4 + 8 * F.col("at")).cast("long")).alias("size"), F.coalesce("leaves", F.lit(1).cast("long")).alias("leaves"), "under")
     return materialise(upper.unionByName(square).where(F.col("under").isNull() | (F.col("under") <= 4 + 64)), "ranked")
 
 

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,5 +76,18 @@ def _at_exit() -> None:
 def materialise(df: DataFrame, tag: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """Write df to the shared folder, to path if given, and read it back: cuts lineage, survives lost executors."""
     path = path or scratch(df.sparkSession, tag)
-    df.write.option("compression", compression).parquet(path)
+    with _shuffles_go(df.sparkSession):
+        df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """A write in here deletes its shuffle files when it is done; else they stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

@@ -77,3 +77,39 @@ def test_compressed_queries_go_by_squares(spark, far, monkeypatch):
     masks = catalog._compressed(spark, path, "op").masks
     assert masks.count() == squares < cells
     assert masks.selectExpr("explode(masks) AS m").selectExpr("sum(bit_count(m))").head()[0] == cells
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """A table that is written keeps its rows only, though its plan is still held."""
+    import time
+
+    from pyspark.sql import functions as F
+    from quadrel.storage import materialise
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in found.split() if "/shuffle_" in x}
+
+    before = files()
+    df = spark.range(10_000).groupBy((F.col("id") % 5000).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    had = spark.conf.get(setting, None)
+    assert materialise(df, "counts").count() == 5000 and spark.conf.get(setting, None) == had
+    kept = spark.read.parquet(*materialise(df, "again").inputFiles())
+    for _ in range(50):
+        if not (left := files() - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 5000
+
+
+def test_only_repeated_shapes_are_looked_up(spark, monkeypatch):
+    """Shapes that a single node has meet no other node."""
+    from quadrel.matrix import Matrix
+    from quadrel.operators import compress
+
+    seen = {}
+    monkeypatch.setattr(compress, "materialise", lambda df, tag, write=compress.materialise: seen.setdefault(tag, write(df, tag)))
+    cells = [(8 * i + 2 * (i & 1), 8 * i + 2 * j) for i in range(12) for j in range(2)]
+    compress.subtree_groups(Matrix.from_df(spark.createDataFrame(cells, "row long, col long"), catalog.SPACE))
+    assert 0 < seen["repeated"].count() < seen["nodes"].select("d", "rep").distinct().count()
