@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quadrel.matrix import Matrix, Meta
 from quadrel.operators.compress import Compressed
 from quadrel.operators.tree import morton_sorted, row_sorted
+from quadrel.storage import materialise
 
 
 def read_edges(spark: SparkSession, path: str, n: int | None = None, expected: int | None = None) -> Matrix:
@@ -55,7 +56,8 @@ def load_keyed(spark: SparkSession, path: str) -> DataFrame:
 
 def save_compressed(c: Compressed, path: str) -> None:
     """Node table by level, leaf masks by square, metadata."""
-    c.tree.repartitionByRange("level", "key").write.partitionBy("level").parquet(f"{path}/tree")
+    # Written first, as ranges are read twice, for their bounds too.
+    materialise(c.tree, "tree").repartitionByRange("level", "key").write.partitionBy("level").parquet(f"{path}/tree")
     c.masks.write.parquet(f"{path}/masks")
     _write_meta(c.nodes.sparkSession, c.meta, path)
 

@@ -113,3 +113,13 @@ def test_only_repeated_shapes_are_looked_up(spark, monkeypatch):
     cells = [(8 * i + 2 * (i & 1), 8 * i + 2 * j) for i in range(12) for j in range(2)]
     compress.subtree_groups(Matrix.from_df(spark.createDataFrame(cells, "row long, col long"), catalog.SPACE))
     assert 0 < seen["repeated"].count() < seen["nodes"].select("d", "rep").distinct().count()
+
+
+def test_saved_matrix_stands_alone(spark, far, monkeypatch):
+    """Once a compressed matrix is saved, only its file is left."""
+    from quadrel import storage
+
+    since, left = storage.mark(), []
+    monkeypatch.setattr(catalog.comp, "decode_compressed", lambda c: left.extend(storage._made[since:]) or c.nodes)
+    assert catalog.QUERIES["save_load_compressed_wide"](spark, far[0]).count() > 0
+    assert len(left) == 1
