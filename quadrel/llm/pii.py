@@ -12,8 +12,10 @@ and kinds stand in many texts by chance, so there the share rests on the lower
 end of Wilson's interval for P(entity | term), from as many cases as there are
 different values: near copies, which repeat a value, count once.  With evidence
 from SUPPORT texts, a term is telling from the share GENERALISE on, wherever it
-stands in the texts of that entity; unless over FEW words and over COPIED of the
-text's words would tell of one entity, which marks near copies, not disclosure.  sanitise() replaces it by the beginning of the word if
+stands in the texts of that entity.  Over FEW words and over COPIED of the text's
+words that would tell of one entity mark near copies: each of these words is
+held once more against the evidence, in which all the entity's texts so marked
+count as one, and tells in them only if it still does.  sanitise() replaces it by the beginning of the word if
 that reveals less than GENERALISE, else by [TERM]; from REMOVE on it goes.
 Words inside base spans and secrets are no terms.
 
@@ -61,7 +63,7 @@ WORD = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u9FFF\uF900-\uFAFF]{2}|
 #: Distinct texts that a term must share with an entity.
 SUPPORT = 2
 GENERALISE, REMOVE = 0.8, 0.95
-#: Number and share of a text's distinct words beyond both of which those that tell of one entity tell of copying.
+#: Number and share of a text's distinct words beyond both of which those that tell of one entity tell of copying, and need evidence from other texts.
 FEW, COPIED = 5, 0.05
 #: Wilson's interval: 1.96 standard errors.
 Z = 1.96
@@ -242,12 +244,32 @@ def _both(held: DataFrame, of: str) -> DataFrame:
     return each.groupBy("e.cls", "term").agg(F.count(F.lit(1)).alias("both"), F.sum("e.weight").alias("cases"), F.max("e.df_entity").alias("df_entity"), F.max("e.exact").alias("exact"))
 
 
-def telling_terms(held: DataFrame, df_term: DataFrame, n: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """(cls, term, share) of terms whose disclosure of the entity, among n distinct texts, reaches the threshold."""
+def evidence(held: DataFrame, df_term: DataFrame, n: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(cls, term, share) of terms whose disclosure of the entity, among n distinct texts, reaches the threshold; and the counts it comes from."""
     both = _both(held, "words").where(F.col("both") >= support)
     known = both.join(df_term.select("term", F.col("df").alias("df_term")), "term")
+    return _telling(known, n, threshold).select("cls", "term", "share", "both", "cases", "df_entity", "df_term", "exact")
+
+
+def _telling(known: DataFrame, n: int, threshold: float) -> DataFrame:
     share = _share(F.lit(float(max(1, n))), F.col("both"), F.col("cases"), F.col("df_entity"), F.col("df_term"), F.col("exact"))
-    return known.withColumn("share", share).where(F.col("share") >= threshold).select("cls", "term", "share")
+    return known.withColumn("share", share).where(F.col("share") >= threshold)
+
+
+def telling_terms(held: DataFrame, df_term: DataFrame, n: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(cls, term, share) of terms whose disclosure of the entity, among n distinct texts, reaches the threshold."""
+    return evidence(held, df_term, n, support, threshold).select("cls", "term", "share")
+
+
+def told_beside_copies(copied: DataFrame, telling: DataFrame, n: int, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """(th, cls, term, share) of what still tells in copied texts (th, cls, t) when all of them that one entity has count as one text."""
+    rows = copied.select("th", "cls", F.inline("t")).select("th", "cls", "term")
+    texts = copied.groupBy("cls").agg((F.count(F.lit(1)) - 1).alias("fewer"))
+    per = rows.groupBy("cls", "term").agg((F.count(F.lit(1)) - 1).alias("less")).join(texts, "cls")
+    known = telling.drop("share").join(per, ["cls", "term"]).withColumn("both", F.col("both") - F.col("less")).where(F.col("both") >= support)
+    # No more cases than texts.
+    known = known.withColumn("cases", F.least("cases", "both")).withColumn("df_term", F.col("df_term") - F.col("less")).withColumn("df_entity", F.col("df_entity") - F.col("fewer"))
+    return rows.join(measured(_telling(known, n, threshold).select("cls", "term", "share"), "pii-beside"), ["cls", "term"]).select("th", "cls", "term", "share")
 
 
 def _marked(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -267,10 +289,12 @@ def _work(docs: DataFrame) -> dict:
     repeated = measured(copies(found), "pii-copies")
     held = occurring(found, entities(found))
     df_term = frequencies(docs, repeated, _words(F.col("text")), "term")
-    telling = measured(telling_terms(held, df_term, n), "pii-telling")
+    telling = measured(evidence(held, df_term, n), "pii-telling")
     each = held.select("th", F.size("words").alias("of"), "entities.cls", F.explode("words").alias("term")).select("th", "of", "term", F.explode("cls").alias("cls"))
-    told = each.join(telling, ["cls", "term"]).groupBy("th", "cls").agg(F.max("of").alias("of"), F.collect_list(F.struct("term", "share")).alias("t"))  # words of one text
-    told = told.where((F.size("t") <= FEW) | (F.size("t") <= COPIED * F.col("of"))).select("th", "cls", F.inline("t"))
+    told = each.join(telling.select("cls", "term", "share"), ["cls", "term"]).groupBy("th", "cls").agg(F.max("of").alias("of"), F.collect_list(F.struct("term", "share")).alias("t"))  # words of one text
+    told = materialise(told, "pii-told")
+    own = (F.size("t") <= FEW) | (F.size("t") <= COPIED * F.col("of"))
+    told = told.where(own).select("th", "cls", F.inline("t")).unionByName(told_beside_copies(told.where(~own), telling, n))
     terms = materialise(told.groupBy("th", "term").agg(F.max(F.struct("share", "cls")).alias("x")).select("th", "term", "x.share", "x.cls"), "pii-terms")
     return {"found": found, "repeated": repeated, "held": held, "terms": terms, "n": n}
 

@@ -665,6 +665,19 @@ def test_pii_terms_by_brute_force(spark):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_pii_terms_of_near_copies(spark):
+    """Words that only near copies share tell nothing; one that other texts of the entity have too tells in the copies as well."""
+    rare = " ".join(f"selten{i}" for i in range(12))
+    near = [f"{rare} Sternberg {x} s@t.example" for x in ("heute", "morgen", "gestern")]
+    texts = near + ["Sternberg schrieb s@t.example", "damals Sternberg s@t.example"] + [f"heute morgen gestern damals schrieb wort{i}" for i in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x["spans"] for x in pii.report(table).collect()}
+    for i, t in enumerate(texts[:5]):
+        assert [t[int(a):int(b)] for k, a, b in (x.split(":") for x in out[i].split(",")) if k == "term"] == ["Sternberg"]
+    got = {(x["doc_id"], x["n_terms"]) for x in pii.report(table.where("doc_id < 3 OR doc_id > 4")).collect() if x["doc_id"] < 3}
+    assert got == {(0, 0), (1, 0), (2, 0)}
+
+
 def test_pii_secrets_and_other_words(spark):
     """Keys and passwords are spans; names of two letters, codes and words of unparted scripts can be terms."""
     secret = ["AKIA" + "Q7" * 8, 'token = "' + "a1b2" * 8 + '"', "password: hunter2hunter2", "ghp_" + "aB3" * 13]
